@@ -110,8 +110,8 @@ _GREEK = regex.compile(r"[Ͱ-Ͽ]")
 #: Where none of these is, a text of other than Cyrillic letters was not read from a legacy encoding.
 _SUSPECT = regex.compile(rf"[\x80-\x9f]|(?<=[\p{{L}}\p{{S}}¡-¿])[{_SUSPECT_SYMBOL}]|[{_SUSPECT_SYMBOL}](?=\p{{L}})|(?<!\p{{L}})[À-ÿŒœŠšŽžŸƒ]{{2,}}(?!\p{{L}})|[À-ÿ]{{3,}}|[‚ƒ„][^\s\w]|(?<=\p{{L}})[‚„ƒ]|‚[À-ÿ¢£]")
 _INVERTED = regex.compile(r"(?<=\p{Ll})\p{Lu}")
-_RUSSIAN = {k: 0.5 * (-math.log(v / 100) - 3.0) for k, v in RUSSIAN_PERCENT.items()}
-_GREEK_COST = {k: 0.5 * (-math.log(v / 100) - 3.0) for k, v in GREEK_PERCENT.items()}
+_RUSSIAN = {k: min(0.6, 0.5 * (-math.log(v / 100) - 3.0)) for k, v in RUSSIAN_PERCENT.items()}
+_GREEK_COST = {k: min(0.6, 0.5 * (-math.log(v / 100) - 3.0)) for k, v in GREEK_PERCENT.items()}
 
 
 @functools.lru_cache(maxsize=32_768)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import copies, encoding
+from quillon.llm import conversations, copies, encoding, tokens
 from quillon.session import table
 
 
@@ -20,5 +20,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.found(table(spark, d, "raw_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p5_found": p5_found}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.found(table(spark, d, "raw_items"), table(spark, d, "exports"))
+
+
+def p4_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.sessions(table(spark, d, "raw_items"), table(spark, d, "exports"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.found(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_sessions, p5_found, p7_ids)}
 SQL: dict[str, str] = {}
