@@ -35,7 +35,7 @@ GREEK_PERCENT = {
     "θ": 1.3, "χ": 1.2, "φ": 0.8, "β": 0.7, "ξ": 0.4, "ζ": 0.4, "ψ": 0.2, "ά": 1.7, "έ": 1.9, "ή": 1.4, "ί": 2.6, "ό": 1.9, "ύ": 1.0, "ώ": 0.9, "ϊ": 0.1, "ϋ": 0.02, "ΐ": 0.02, "ΰ": 0.01,
 }
 
-MOST_LAYERS = 3
+MOST_LAYERS, SURE_SEQUENCES = 3, 3
 _C1_THROUGH = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254")
 _LOST = "�"
 
@@ -76,13 +76,25 @@ def _sequences(wrong: str) -> regex.Pattern:
     return regex.compile(f"(?:{some(0xC2, 0xE0)}{tail}|{some(0xE0, 0xF0)}{tail}{{2}}|{some(0xF0, 0xF5)}{tail}{{3}})+")
 
 
+@functools.cache
+def _signs(wrong: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that begin and that continue a UTF-8 sequence as the wrong encoding shows it."""
+    chars = _char_of(wrong)
+    return frozenset(c for b, c in chars.items() if 0xC2 <= b < 0xF5), frozenset(c for b, c in chars.items() if b < 0xC0)
+
+
+def _explains(wrong: str, text: str, chars: set[str]) -> bool:
+    """Whether the text has UTF-8 sequences under this wrong encoding."""
+    lead, tail = _signs(wrong)
+    return not lead.isdisjoint(chars) and not tail.isdisjoint(chars) and _sequences(wrong).search(text) is not None
+
+
 def _back(text: str, wrong: str) -> bytes | None:
     if _outside(wrong).search(text):
         return None
     return text.translate(_byte_of(wrong)).encode("latin-1")
 
 
-_PAIR = regex.compile(r"[^\x00-\x7f]{2}")
 _NONASCII = regex.compile(r"[^\x00-\x7f]")
 _SUSPECT_SYMBOL = "¢£¤¥¦§¨©ª¬\xad®¯±²³´µ¶·¸¹º¼½¾×÷ƒˆ˜†‡•‰‹›€™√∫≈∆◊Ω∂∑∏∞≤≥≠⁄ﬁﬂ⌐⌠⌡∙ªΓΘΣΦ∩δε"
 _COSTS = tuple(
@@ -97,7 +109,7 @@ _COSTS = tuple(
         (r"(?<=\p{Greek})[\p{Cyrillic}\p{Hebrew}\u0600-\u06ff]|(?<=\p{Cyrillic})[\p{Greek}\p{Hebrew}\u0600-\u06ff]|(?<=[\p{Hebrew}\u0600-\u06ff])[\p{Greek}\p{Cyrillic}]", 1.0),
         (r"[╨╤][^\s╨╤]|(?<=\p{L})[─-▟]|[─-▟](?=\p{L})|(?<=\p{L})[‚„]|[–—][^\s\p{L}\p{N}.,;:!?…–—\-]|‚[À-ÿ¢£]", 1.0),
         (r"(?<!\p{Cyrillic})\p{Cyrillic}[°-¿]|(?<=[\p{Ll}\p{Lu}])[ↀ-⓿]|[ↀ-⓿](?=\p{L})", 1.0),
-        (r"[｡-ﾟ]", 0.8),
+        (r"[｡-ﾟ]|[ÃÂ][^\s\x00-\x7f]", 0.8),
         (r"(?<=\p{Latin})\p{Hangul}(?!\p{Hangul})|(?<![\p{Thai}\p{Devanagari}\p{Arabic}])[\u0300-\u036f]", 1.5),
         (r"(?<=[a-z])\p{Han}{1,2}(?=[a-z])|(?<![^\s])\p{Han}(?=[a-z])", 3.0),
         (r"(?<=[\x21-\x7e])(?=[“„‚‘’”…–—])(?<![\s(\[A-Za-z0-9.,;:!?])|(?<=[‘’“”–—…‚„])[\p{L}--[A-Za-z]](?=[‘’“”–—…‚„])", 0.5),
@@ -109,7 +121,10 @@ _CYR = regex.compile(r"[Ѐ-ӿ]")
 _GREEK = regex.compile(r"[Ͱ-Ͽ]")
 #: Where none of these is, a text of other than Cyrillic letters was not read from a legacy encoding.
 _SUSPECT = regex.compile(rf"[\x80-\x9f]|(?<=[\p{{L}}\p{{S}}¡-¿])[{_SUSPECT_SYMBOL}]|[{_SUSPECT_SYMBOL}](?=\p{{L}})|(?<!\p{{L}})[À-ÿŒœŠšŽžŸƒ]{{2,}}(?!\p{{L}})|[À-ÿ]{{3,}}|[‚ƒ„][^\s\w]|(?<=\p{{L}})[‚„ƒ]|‚[À-ÿ¢£]")
-_INVERTED = regex.compile(r"(?<=\p{Ll})\p{Lu}")
+_SUSPECT_CHARS = frozenset({*map(chr, range(0x80, 0xA0)), *_SUSPECT_SYMBOL.replace("-", ""), *"‚ƒ„"})
+_ACCENTED = regex.compile(r"[À-ÿŒœŠšŽžŸƒ]{2}")
+#: Cyrillic whose letter case is exchanged, as KOI8-R and Windows-1251 show each other, has capitals in a row.
+_INVERTED = regex.compile(r"[А-ЯЁЂ-Џ]{2}|[а-яёђ-џ][А-ЯЁ]")
 _RUSSIAN = {k: min(0.6, 0.5 * (-math.log(v / 100) - 3.0)) for k, v in RUSSIAN_PERCENT.items()}
 _GREEK_COST = {k: min(0.6, 0.5 * (-math.log(v / 100) - 3.0)) for k, v in GREEK_PERCENT.items()}
 
@@ -155,35 +170,42 @@ def garbling(text: str) -> float:
 
 def _whole(text: str) -> list[str]:
     """All strict round trips of the whole text."""
-    out = []
+    out, chars = [], set(text)
     for wrong in WRONG_FOR_UTF8:
-        if _sequences(wrong).search(text):
+        if _explains(wrong, text, chars):
             raw = _back(text, wrong)
             if raw is not None:
                 try:
                     out.append(raw.decode("utf-8"))
                 except UnicodeDecodeError:
                     pass
-    cyrillic = [_RUSSIAN.get(c.lower(), 1.5) for c in _CYR.findall(text)]
-    if cyrillic:
-        pairs = CYRILLIC_PAIRS if sum(cyrillic) > 0.2 * len(cyrillic) or _INVERTED.search(text) else ()
+    if out and max(map(len, _sequences_in(text, chars))) >= SURE_SEQUENCES:
+        return out  # so many valid sequences do not come about by chance
+    if _CYR.search(text):
+        pairs = CYRILLIC_PAIRS if _INVERTED.search(text) else ()
     else:
-        pairs = OTHER_PAIRS if _SUSPECT.search(text) else ()
+        pairs = OTHER_PAIRS if not (_SUSPECT_CHARS.isdisjoint(chars) and not _ACCENTED.search(text)) and _SUSPECT.search(text) else ()
+    raws: dict[str, bytes | None] = {}
     for wrong, right in pairs:
-        try:
-            raw = _back(text, wrong)
-            if raw is not None:
-                out.append(raw.decode(right))
-        except (UnicodeDecodeError, UnicodeEncodeError):
-            pass
+        if wrong not in raws:
+            raws[wrong] = _back(text, wrong)
+        if raws[wrong] is not None:
+            try:
+                out.append(raws[wrong].decode(right))
+            except UnicodeDecodeError:
+                pass
     return out
 
 
+def _sequences_in(text: str, chars: set[str]) -> list[list[str]]:
+    return [_sequences(w).findall(text) for w in WRONG_FOR_UTF8 if _explains(w, text, chars)]
+
+
 def _parts(text: str) -> list[str]:
     """The text with its damaged runs repaired, once for each wrong encoding that explains any."""
-    out = []
+    out, chars = [], set(text)
     for wrong in WRONG_IN_PARTS:
-        if not _sequences(wrong).search(text):
+        if not _explains(wrong, text, chars):
             continue
 
         def repaired(m: regex.Match, wrong: str = wrong) -> str:
@@ -205,12 +227,8 @@ def repair(text: str | None) -> str | None:
         return None
     if _LOST in text:
         return ""
-    if not _PAIR.search(text) and not _SUSPECT.search(text):
-        return None  # neither a sequence of two bytes nor a sign of another legacy encoding
-    if not _whole(text) and not _parts(text):
-        return None
     cost, best = _cheapest(text, MOST_LAYERS)
-    if best == text or cost >= garbling(text) - 0.3:
+    if best is text or cost >= garbling(text) - 0.3:
         return None
     return "" if _LOST in best else best
 
@@ -218,6 +236,8 @@ def repair(text: str | None) -> str | None:
 def _cheapest(text: str, layers: int) -> tuple[float, str]:
     """The least garbled text that up to ``layers`` round trips lead to; each layer has to pay for itself."""
     candidates = {*_whole(text), *_parts(text)} - {text} if layers and not text.isascii() else ()
+    if not candidates and layers == MOST_LAYERS:
+        return 0.0, text
     own = garbling(text)
     best = (own, text)
     ahead = []
@@ -226,7 +246,7 @@ def _cheapest(text: str, layers: int) -> tuple[float, str]:
         best = min(best, (cost, new))
         if cost < own + 1:
             ahead.append((cost, new))
-    for cost, new in sorted(ahead)[:4]:
+    for cost, new in sorted(ahead)[:3]:
         if cost > 0.3:
             deeper, end = _cheapest(new, layers - 1)
             best = min(best, (deeper + 0.05, end))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import conversations, copies, encoding, tokens
+from quillon.llm import conversations, copies, encoding, sentences, tokens
 from quillon.session import table
 
 
@@ -32,5 +32,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.found(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_sessions, p5_found, p7_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_sessions, p5_found, p7_ids, p9_found)}
 SQL: dict[str, str] = {}
