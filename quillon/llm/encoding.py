@@ -109,6 +109,7 @@ _COSTS = tuple(
         (r"(?<=\p{Greek})[\p{Cyrillic}\p{Hebrew}\u0600-\u06ff]|(?<=\p{Cyrillic})[\p{Greek}\p{Hebrew}\u0600-\u06ff]|(?<=[\p{Hebrew}\u0600-\u06ff])[\p{Greek}\p{Cyrillic}]", 1.0),
         (r"[╨╤][^\s╨╤]|(?<=\p{L})[─-▟]|[─-▟](?=\p{L})|(?<=\p{L})[‚„]|[–—][^\s\p{L}\p{N}.,;:!?…–—\-]|‚[À-ÿ¢£]", 1.0),
         (r"(?<!\p{Cyrillic})\p{Cyrillic}[°-¿]|(?<=[\p{Ll}\p{Lu}])[ↀ-⓿]|[ↀ-⓿](?=\p{L})", 1.0),
+        (r"[\u0180-\u0217\u021c-\u024f]", 1.0),
         (r"[｡-ﾟ]|[ÃÂ][^\s\x00-\x7f]", 0.8),
         (r"(?<=\p{Latin})\p{Hangul}(?!\p{Hangul})|(?<![\p{Thai}\p{Devanagari}\p{Arabic}])[\u0300-\u036f]", 1.5),
         (r"(?<=[a-z])\p{Han}{1,2}(?=[a-z])|(?<![^\s])\p{Han}(?=[a-z])", 3.0),
@@ -246,7 +247,7 @@ def _cheapest(text: str, layers: int) -> tuple[float, str]:
         best = min(best, (cost, new))
         if cost < own + 1:
             ahead.append((cost, new))
-    for cost, new in sorted(ahead)[:3]:
+    for cost, new in sorted(ahead)[:4]:
         if cost > 0.3:
             deeper, end = _cheapest(new, layers - 1)
             best = min(best, (deeper + 0.05, end))

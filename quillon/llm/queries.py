@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import conversations, copies, encoding, sentences, tokens
+from quillon.llm import conversations, copies, encoding, names, sentences, tokens
 from quillon.session import table
 
 
@@ -28,6 +28,10 @@ def p4_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.sessions(table(spark, d, "raw_items"), table(spark, d, "exports"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.found(table(spark, d, "entities"), table(spark, d, "raw_items"), table(spark, d, "exports"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.found(table(spark, d, "documents"))
 
@@ -36,5 +40,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_sessions, p5_found, p7_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_sessions, p5_found, p6_found, p7_ids, p9_found)}
 SQL: dict[str, str] = {}
