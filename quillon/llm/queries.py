@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import conversations, copies, encoding, names, sentences, tokens
+from quillon.llm import conversations, copies, encoding, names, packing, sentences, tokens
 from quillon.session import table
 
 
@@ -36,9 +36,17 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.found(table(spark, d, "documents"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "context_budgets"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_sessions, p5_found, p6_found, p7_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_sessions, p5_found, p6_found, p7_ids, p8_containers, p8_fill, p9_found)}
 SQL: dict[str, str] = {}
