@@ -83,6 +83,13 @@ def _signs(wrong: str) -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(c for b, c in chars.items() if 0xC2 <= b < 0xF5), frozenset(c for b, c in chars.items() if b < 0xC0)
 
 
+@functools.cache
+def _any_sequence() -> regex.Pattern:
+    """The beginning of a UTF-8 sequence under any of the wrong encodings."""
+    lead, tail = (regex.escape("".join(sorted(set().union(*(_signs(w)[k] for w in WRONG_FOR_UTF8)))), special_only=False) for k in (0, 1))
+    return regex.compile(f"[{lead}][{tail}]")
+
+
 def _explains(wrong: str, text: str, chars: set[str]) -> bool:
     """Whether the text has UTF-8 sequences under this wrong encoding."""
     lead, tail = _signs(wrong)
@@ -169,19 +176,27 @@ def garbling(text: str) -> float:
     return total
 
 
-def _whole(text: str) -> list[str]:
+def _explaining(text: str) -> list[str]:
+    """The wrong encodings under which the text has UTF-8 sequences."""
+    if not _any_sequence().search(text):
+        return []
+    chars = set(text)
+    return [w for w in WRONG_FOR_UTF8 if _explains(w, text, chars)]
+
+
+def _whole(text: str, explaining: list[str]) -> list[str]:
     """All strict round trips of the whole text."""
-    out, chars = [], set(text)
-    for wrong in WRONG_FOR_UTF8:
-        if _explains(wrong, text, chars):
-            raw = _back(text, wrong)
-            if raw is not None:
-                try:
-                    out.append(raw.decode("utf-8"))
-                except UnicodeDecodeError:
-                    pass
-    if out and max(map(len, _sequences_in(text, chars))) >= SURE_SEQUENCES:
+    out = []
+    for wrong in explaining:
+        raw = _back(text, wrong)
+        if raw is not None:
+            try:
+                out.append(raw.decode("utf-8"))
+            except UnicodeDecodeError:
+                pass
+    if out and max(len(_sequences(w).findall(text)) for w in explaining) >= SURE_SEQUENCES:
         return out  # so many valid sequences do not come about by chance
+    chars = set(text)
     if _CYR.search(text):
         pairs = CYRILLIC_PAIRS if _INVERTED.search(text) else ()
     else:
@@ -198,15 +213,11 @@ def _whole(text: str) -> list[str]:
     return out
 
 
-def _sequences_in(text: str, chars: set[str]) -> list[list[str]]:
-    return [_sequences(w).findall(text) for w in WRONG_FOR_UTF8 if _explains(w, text, chars)]
-
-
-def _parts(text: str) -> list[str]:
+def _parts(text: str, explaining: list[str]) -> list[str]:
     """The text with its damaged runs repaired, once for each wrong encoding that explains any."""
-    out, chars = [], set(text)
-    for wrong in WRONG_IN_PARTS:
-        if not _explains(wrong, text, chars):
+    out = []
+    for wrong in explaining:
+        if wrong not in WRONG_IN_PARTS:
             continue
 
         def repaired(m: regex.Match, wrong: str = wrong) -> str:
@@ -236,7 +247,8 @@ def repair(text: str | None) -> str | None:
 
 def _cheapest(text: str, layers: int) -> tuple[float, str]:
     """The least garbled text that up to ``layers`` round trips lead to; each layer has to pay for itself."""
-    candidates = {*_whole(text), *_parts(text)} - {text} if layers and not text.isascii() else ()
+    explaining = _explaining(text) if layers and not text.isascii() else []
+    candidates = {*_whole(text, explaining), *_parts(text, explaining)} - {text} if layers else ()
     if not candidates and layers == MOST_LAYERS:
         return 0.0, text
     own = garbling(text)
