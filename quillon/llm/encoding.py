@@ -240,7 +240,7 @@ def repair(text: str | None) -> str | None:
     if _LOST in text:
         return ""
     cost, best = _cheapest(text, MOST_LAYERS)
-    if best is text or cost >= garbling(text) - 0.3:
+    if best is text or (cost >= 0 and cost >= garbling(text) - 0.3):
         return None
     return "" if _LOST in best else best
 
@@ -251,6 +251,10 @@ def _cheapest(text: str, layers: int) -> tuple[float, str]:
     candidates = {*_whole(text, explaining), *_parts(text, explaining)} - {text} if layers else ()
     if not candidates and layers == MOST_LAYERS:
         return 0.0, text
+    if len(candidates) == 1 and layers == MOST_LAYERS:
+        only = next(iter(candidates))
+        if max((len(_sequences(w).findall(text)) for w in explaining), default=0) >= SURE_SEQUENCES and not _explaining(only) and _LOST not in only:
+            return -1.0, only  # so many sequences cost more than any ordinary text that they become
     own = garbling(text)
     best = (own, text)
     ahead = []
@@ -259,7 +263,7 @@ def _cheapest(text: str, layers: int) -> tuple[float, str]:
         best = min(best, (cost, new))
         if cost < own + 1:
             ahead.append((cost, new))
-    for cost, new in sorted(ahead)[:4]:
+    for cost, new in sorted(ahead)[:6]:
         if cost > 0.3:
             deeper, end = _cheapest(new, layers - 1)
             best = min(best, (deeper + 0.05, end))
