@@ -184,17 +184,19 @@ def _explaining(text: str) -> list[str]:
     return [w for w in WRONG_FOR_UTF8 if _explains(w, text, chars)]
 
 
-def _whole(text: str, explaining: list[str]) -> list[str]:
-    """All strict round trips of the whole text."""
+def _whole(text: str, explaining: list[str], many: bool) -> list[str]:
+    """Strict round trips of the whole text; ``many``: it has so many sequences that UTF-8 alone explains them."""
     out = []
-    for wrong in explaining:
+    for wrong in sorted(explaining, key=lambda w: w not in WRONG_IN_PARTS):
+        if out and wrong not in WRONG_IN_PARTS:
+            break  # the rarer encodings count where none of the common ones fits
         raw = _back(text, wrong)
         if raw is not None:
             try:
                 out.append(raw.decode("utf-8"))
             except UnicodeDecodeError:
                 pass
-    if out and max(len(_sequences(w).findall(text)) for w in explaining) >= SURE_SEQUENCES:
+    if out and many:
         return out  # so many valid sequences do not come about by chance
     chars = set(text)
     if _CYR.search(text):
@@ -248,12 +250,16 @@ def repair(text: str | None) -> str | None:
 def _cheapest(text: str, layers: int) -> tuple[float, str]:
     """The least garbled text that up to ``layers`` round trips lead to; each layer has to pay for itself."""
     explaining = _explaining(text) if layers and not text.isascii() else []
-    candidates = {*_whole(text, explaining), *_parts(text, explaining)} - {text} if layers else ()
+    many = max((len(_sequences(w).findall(text)) for w in explaining), default=0) >= SURE_SEQUENCES
+    candidates = set(_whole(text, explaining, many)) if layers else set()
+    if layers and not (many and candidates):
+        candidates.update(_parts(text, explaining))
+    candidates.discard(text)
     if not candidates and layers == MOST_LAYERS:
         return 0.0, text
     if len(candidates) == 1 and layers == MOST_LAYERS:
         only = next(iter(candidates))
-        if max((len(_sequences(w).findall(text)) for w in explaining), default=0) >= SURE_SEQUENCES and not _explaining(only) and _LOST not in only:
+        if many and not _explaining(only) and _LOST not in only:
             return -1.0, only  # so many sequences cost more than any ordinary text that they become
     own = garbling(text)
     best = (own, text)
