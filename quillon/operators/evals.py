@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +46,13 @@ def match(extracted: DataFrame, gold: DataFrame, floor: float = FLOOR) -> DataFr
     b = gold.withColumn("side", F.lit("g"))
     both = a.unionByName(b, allowMissingColumns=True)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[rows.side == "x"].to_dict("records")
-        g = rows[rows.side == "g"].to_dict("records")
-        for r in (*x, *g):
-            if "embedding" in r and not isinstance(r["embedding"], (list, np.ndarray)):
-                r["embedding"] = None
-        pairs = greedy_match(x, g, floor)
-        return pd.DataFrame({"kind": [rows.kind.iloc[0]] * len(pairs), "gold_seq": [p[0] for p in pairs], "extracted_seq": [p[1] for p in pairs]})
+    def one(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        pairs = greedy_match([r for r in rows if r["side"] == "x"], [r for r in rows if r["side"] == "g"], floor)
+        kinds = [rows[0]["kind"]] * len(pairs)
+        return pa.table([pa.array(kinds, pa.string()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["kind", "gold_seq", "extracted_seq"])
 
-    return both.groupBy("kind").applyInPandas(one, "kind string, gold_seq long, extracted_seq long")
+    return both.groupBy("kind").applyInArrow(one, "kind string, gold_seq long, extracted_seq long")
 
 
 def _ratio(a: Column, b: Column) -> Column:
