@@ -68,12 +68,13 @@ def extract_section(markdown: Column, name: Column) -> Column:
     """The body of a ``## name`` block up to the next heading, any case; null if there is none."""
     found = F.filter(F.split(F.concat(F.lit("\n"), markdown), r"\n## "), lambda s: F.lower(F.trim(F.substring_index(s, "\n", 1))) == F.lower(F.trim(name)))
     block = F.get(found, F.lit(0))
-    return F.trim(F.regexp_replace(block, r"^[^\n]*\n?", ""))
+    return F.regexp_replace(F.regexp_replace(block, r"^[^\n]*\n?", ""), r"^\s+|\s+$", "")
 
 
 def apple_timestamp(raw: Column) -> Column:
     """Seconds or, from 1e12 on, nanoseconds since 2001 as a timestamp; 0 and null are missing."""
-    micros = F.when(raw >= NANOSECONDS_FROM, F.call_function("div", raw.cast("long"), F.lit(1000))).otherwise(raw * 1_000_000)
+    raw = raw.cast("long")
+    micros = F.when(raw >= NANOSECONDS_FROM, F.call_function("div", raw, F.lit(1000))).otherwise(raw * 1_000_000)
     return F.when(raw != 0, F.timestamp_micros((micros + APPLE_EPOCH * 1_000_000).cast("long")))
 
 

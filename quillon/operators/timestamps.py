@@ -228,8 +228,8 @@ def with_instants(items: DataFrame, exports: DataFrame, to: str = "epoch_us") ->
     zone = "__zone"
     zones = exports.where(F.col("export_id").isNotNull()).groupBy(F.col("export_id").alias("__export")).agg(F.min("source_tz").alias(zone))
     joined = items.join(zones, items["export_id"] == zones["__export"], "left")
-    made = joined.withColumn(to, instant_udf()(F.col("source"), F.col("ts"), F.col(zone)))
-    return made.drop(zone, "__export")
+    instant = instant_udf()(items["source"], items["ts"], zones[zone])
+    return joined.select(*(items[c] for c in items.columns if c != to), instant.alias(to))
 
 
 def found(items: DataFrame, exports: DataFrame) -> DataFrame:

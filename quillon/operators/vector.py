@@ -114,8 +114,8 @@ def near_pairs(rows: DataFrame, eps: float, id_col: str, embedding: str = "embed
     along = F.aggregate(F.zip_with(F.col(embedding), direction, lambda x, d: x.cast("double") * d), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(F.transform(F.col(embedding), lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
     reach = F.sqrt(F.aggregate(F.transform(direction, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    slab = F.floor(along / norm / reach / width).cast("long")
-    placed = rows.where(F.col(embedding).isNotNull() & (size > 0)).select(F.col(id_col).alias("id"), F.col(embedding).alias("v"), slab.alias("slab"))
+    slab = F.floor(F.try_divide(along, norm) / reach / width).cast("long")  # null for an all-zero vector, which is near to none
+    placed = rows.where(F.col(embedding).isNotNull() & (size > 0) & slab.isNotNull()).select(F.col(id_col).alias("id"), F.col(embedding).alias("v"), slab.alias("slab"))
     left = placed.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab"))
     right = placed.select(F.col("id").alias("b"), F.col("v").alias("vb"), "slab")
     met = left.join(right, "slab").where("a < b")
