@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import cosine
 from quillon.operators.graph import components
+from quillon.session import settle_table
 
 
 def search(rows: DataFrame, query: list[float] | Column, limit: int, id_col: str = "id", embedding: str = "embedding") -> DataFrame:
@@ -104,22 +105,63 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
 
-def near_pairs(rows: DataFrame, eps: float, id_col: str, embedding: str = "embedding", planes: int = 16) -> DataFrame:
+#: Vectors in one side of a block comparison.
+BLOCK_ROWS = 2048
+
+
+def near_pairs(rows: DataFrame, eps: float, id_col: str, embedding: str = "embedding") -> DataFrame:
     """(a, b): pairs of rows at a cosine distance of at most ``eps``. Unit vectors that near differ by at most
     sqrt(2 eps) in every direction, so rows are cut into slabs of that width along one fixed direction and only met
-    with their own slab and the next; Catalyst verifies the distance."""
+    with their own slab and the next. Slabs are cut into blocks of bounded size; a task compares two blocks by one
+    matrix product and emits the near pairs alone."""
+    kind = dict(rows.dtypes)[id_col]
     width = float(np.sqrt(2 * eps)) + 1e-9
-    size = F.size(embedding)
-    direction = F.transform(F.sequence(F.lit(1), size), lambda i: F.sin(i.cast("double") * 12.9898) * 1.0)
-    along = F.aggregate(F.zip_with(F.col(embedding), direction, lambda x, d: x.cast("double") * d), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate(F.transform(F.col(embedding), lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    reach = F.sqrt(F.aggregate(F.transform(direction, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    slab = F.floor(F.try_divide(along, norm) / reach / width).cast("long")  # null for an all-zero vector, which is near to none
-    placed = rows.where(F.col(embedding).isNotNull() & (size > 0) & slab.isNotNull()).select(F.col(id_col).alias("id"), F.col(embedding).alias("v"), slab.alias("slab"))
-    left = placed.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab"))
-    right = placed.select(F.col("id").alias("b"), F.col("v").alias("vb"), "slab")
-    met = left.join(right, "slab").where("a < b")
-    return met.where(F.round(1 - cosine(F.col("va"), F.col("vb")), 9) <= eps).select("a", "b")
+
+    @F.arrow_udf("long")
+    def slab_of(vectors: pa.Array) -> pa.Array:
+        out = []
+        for v in vectors.to_pylist():
+            x = np.array([np.nan if e is None else e for e in v or []], np.float64)
+            d = np.sin(np.arange(1, len(x) + 1) * 12.9898)
+            size = np.linalg.norm(x) * np.linalg.norm(d) if len(x) else 0.0
+            out.append(int(np.floor(x @ d / size / width)) if size > 0 else None)
+        return pa.array(out, pa.int64())
+
+    placed = rows.select(F.col(id_col).alias("id"), F.col(embedding).cast("array<float>").alias("v")).where("id is not null and v is not null")
+    placed = settle_table(placed.withColumn("slab", slab_of("v")).where("slab is not null"), "slabs")
+    counts = placed.groupBy("slab").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = placed.join(counts, "slab").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    following = counts.select((F.col("slab") - 1).alias("slab"), F.col("blocks").alias("next_blocks"))
+    left = placed.join(following, "slab", "left")
+    own = F.transform(F.sequence(F.col("block"), F.col("blocks") - 1), lambda k: F.struct(F.col("slab").alias("slab_b"), k.alias("block_b")))
+    more = F.when(F.col("next_blocks") > 0, F.transform(F.sequence(F.lit(0), F.col("next_blocks") - 1), lambda k: F.struct((F.col("slab") + 1).alias("slab_b"), k.alias("block_b"))))
+    key = ["slab", "block", "slab_b", "block_b"]
+    left = left.withColumn("to", F.explode(F.concat(own, F.coalesce(more, F.array().cast("array<struct<slab_b:bigint,block_b:int>>"))))).select("slab", "block", "to.slab_b", "to.block_b", "id", "v")
+    before = counts.select((F.col("slab") + 1).alias("slab"), F.col("blocks").alias("before_blocks"))
+    right = placed.join(before, "slab", "left")
+    mine = F.transform(F.sequence(F.lit(0), F.col("block")), lambda k: F.struct(F.col("slab").alias("slab_a"), k.alias("block_a")))
+    earlier = F.when(F.col("before_blocks") > 0, F.transform(F.sequence(F.lit(0), F.col("before_blocks") - 1), lambda k: F.struct((F.col("slab") - 1).alias("slab_a"), k.alias("block_a"))))
+    right = right.withColumn("to", F.explode(F.concat(mine, F.coalesce(earlier, F.array().cast("array<struct<slab_a:bigint,block_a:int>>")))))
+    right = right.select(F.col("to.slab_a").alias("slab"), F.col("to.block_a").alias("block"), F.col("slab").alias("slab_b"), F.col("block").alias("block_b"), F.col("id").alias("id_b"), F.col("v").alias("v_b"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ia, ib = a["id"].to_pylist(), b["id_b"].to_pylist()
+        out_a, out_b = [], []
+        if ia and ib:
+            va, vb = a["v"].to_pylist(), b["v_b"].to_pylist()
+            for n in {len(v) for v in va} & {len(v) for v in vb}:
+                ka, kb = [k for k, v in enumerate(va) if len(v) == n], [k for k, v in enumerate(vb) if len(v) == n]
+                ma, mb = (np.array([v[k] for k in ks], np.float64) for v, ks in ((va, ka), (vb, kb)))
+                near = np.round(1 - (ma / np.linalg.norm(ma, axis=1)[:, None]) @ (mb / np.linalg.norm(mb, axis=1)[:, None]).T, 9) <= eps
+                same = a["slab"][0] == b["slab_b"][0] and a["block"][0] == b["block_b"][0]
+                for x, y in zip(*np.nonzero(near)):
+                    p, q = ia[ka[x]], ib[kb[y]]
+                    if p != q and (not same or p < q):
+                        out_a.append(min(p, q))
+                        out_b.append(max(p, q))
+        return pa.table({"a": pa.array(out_a, _arrow(kind)), "b": pa.array(out_b, _arrow(kind))})
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"a {kind}, b {kind}")
 
 
 def face_clusters(hits: DataFrame, eps: float = 0.4, id_col: str = "seq", embedding: str = "embedding") -> DataFrame:
