@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import transcript_line
@@ -59,9 +59,9 @@ def attempt(transcript: str, extractor: Callable[[str, bool], dict]) -> dict:
 def window_transcripts(items: DataFrame, max_msgs: int = 40, gap_minutes: int = 180) -> DataFrame:
     """(source_group, window_hash, provenance, transcript) of items as the readers make them; photos stand alone.
     OCR lines and tags come from meta."""
-    w = Window.partitionBy("source_group", "island").orderBy("seq")
     marked = with_islands(items, ["source_group"], ["seq"], "ts", gap_minutes, F.col("source") == "photo")
-    marked = marked.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / max_msgs))
+    starts = marked.groupBy("source_group", "island").agg(F.min("rank").alias("start"))
+    marked = marked.join(starts, ["source_group", "island"]).withColumn("chunk", F.floor((F.col("rank") - F.col("start")) / max_msgs))
     meta = F.from_json("meta", "ocr_lines array<string>, vision_tags array<string>")
     line = transcript_line(F.col("sender"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("text"), F.coalesce(meta["ocr_lines"], F.array()), F.coalesce(meta["vision_tags"], F.array()))
     made = marked.withColumn("line", line).groupBy("source_group", "island", "chunk").agg(F.sort_array(F.collect_list(F.struct("seq", "id", "line"))).alias("x"))

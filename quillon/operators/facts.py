@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import cited_ids, first_date
+from quillon.operators.ordered import with_number
 from quillon.operators.vector import search
 from quillon.schemas import FACT_COLUMNS
 
@@ -151,8 +152,8 @@ def by_section(facts: DataFrame) -> DataFrame:
             name = F.when(F.col("kind") == kind, title).otherwise(name)
             kind_no = F.when(F.col("kind") == kind, j).otherwise(kind_no)
     when = F.when(F.col("kind") == "event", F.coalesce("happened_at", F.lit(""))).otherwise(F.lit(""))
-    placed = facts.withColumn("section_no", no).withColumn("section", name).where("section_no is not null")
-    w = Window.partitionBy("section_no").orderBy(kind_no, when, "created_at", "id")
-    return placed.withColumn("section_rank", F.row_number().over(w))
-
-
+    placed = facts.withColumn("section_no", no).withColumn("section", name).where("section_no is not null").withColumn("__kind_no", kind_no).withColumn("__when", when)
+    # There are only five sections, so ranks come from one numbering of all rows.
+    numbered = with_number(placed, ["section_no", "__kind_no", "__when", "created_at", "id"], "__n")
+    starts = F.broadcast(numbered.groupBy("section_no").agg(F.min("__n").alias("__start")))  # one row per section
+    return numbered.join(starts, "section_no").withColumn("section_rank", F.col("__n") - F.col("__start") + 1).drop("__kind_no", "__when", "__n", "__start")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import cosine
 from quillon.operators.graph import components
+from quillon.operators.ordered import with_number
 from quillon.session import settle_table
 
 
@@ -169,6 +170,6 @@ def face_clusters(hits: DataFrame, eps: float = 0.4, id_col: str = "seq", embedd
     noise, labels count by first appearance."""
     pairs = near_pairs(hits, eps, id_col, embedding)
     parts = components(pairs)
-    labels = parts.select("component").distinct().withColumn("label", F.dense_rank().over(Window.orderBy("component")) - 1)  # one row per cluster
+    labels = with_number(parts.select("component").distinct(), ["component"], "label").withColumn("label", F.col("label") - 1)
     found = parts.join(labels, "component").select(F.col("vertex").alias(id_col), "label")
     return hits.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("label", F.lit(-1)).cast("int").alias("label"))

@@ -7,26 +7,37 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import best_label, combined_score, month_bucket
 from quillon.identity import window_hash
+from quillon.operators import ordered
+from quillon.operators.ordered import in_parts, largest_group, with_lags, with_running_sum
 from quillon.schemas import UNSEEN_LABELS
 
 
 def with_islands(items: DataFrame, group: list[str], order: list[str], ts: str = "ts", gap_minutes: int = 180, alone: Column | None = None) -> DataFrame:
-    """Adds ``island``: a new one begins where the gap to the row before is longer than ``gap_minutes`` (both
-    times known), and around rows that stand ``alone``."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    single = F.coalesce(alone, F.lit(False)) if alone is not None else F.lit(False)
-    before = F.lag(ts).over(w)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
-    breaks = F.coalesce(gap > gap_minutes * 60_000_000, F.lit(False)) | single | F.coalesce(F.lag(single).over(w), F.lit(False))
-    return items.withColumn("__break", breaks.cast("int")).withColumn("island", F.sum("__break").over(w)).drop("__break")
+    """Adds ``island``, a new one beginning where the gap to the row before is longer than ``gap_minutes`` (both
+    times known) and around rows that stand ``alone``, and ``rank``, the row's place in its group. A group too
+    large for one task is spread over several."""
+    rows = items.withColumn("__alone", F.coalesce(alone, F.lit(False)) if alone is not None else F.lit(False))
+    rows = rows.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    breaks = F.coalesce(F.col("__us") - F.col("__us_before") > gap_minutes * 60_000_000, F.lit(False)) | (F.col("__alone") & F.col("__alone_before").isNotNull()) | F.coalesce("__alone_before", F.lit(False))
+    lags = {"__us_before": "__us", "__alone_before": "__alone"}
+    if largest_group(items, group) <= ordered.GROUP_ROWS:
+        w = Window.partitionBy(*group).orderBy(*order)
+        for name, c in lags.items():
+            rows = rows.withColumn(name, F.lag(c).over(w))
+        rows = rows.withColumn("__break", breaks.cast("int")).withColumn("island", F.sum("__break").over(w)).withColumn("rank", F.row_number().over(w))
+        return rows.drop("__alone", "__us", "__break", *lags)
+    parts = in_parts(rows, group, order)
+    marked = with_lags(parts, group, order, lags)
+    marked = with_running_sum(marked, group, order, breaks.cast("int"), "island")
+    return with_running_sum(marked, group, order, F.lit(1), "rank").drop("__alone", "__us", "__part", *lags)
 
 
 def conversation_windows(items: DataFrame, group: list[str], order: list[str], id_col: str = "id", ts: str = "ts", max_msgs: int = 40, gap_minutes: int = 180, alone: Column | None = None) -> DataFrame:
     """(group, window_no, n_items, ids, window_hash): chronological slices of at most ``max_msgs`` items in input
-    order. The ids of a window are bounded by ``max_msgs``; a large group is one sort, which spills."""
+    order. The ids of a window are bounded by ``max_msgs``."""
     marked = with_islands(items, group, order, ts, gap_minutes, alone)
-    inside = Window.partitionBy(*group, "island").orderBy(*order)
-    cut = marked.withColumn("chunk", F.floor((F.row_number().over(inside) - 1) / max_msgs).cast("int"))
+    starts = marked.groupBy(*group, "island").agg(F.min("rank").alias("__start"))
+    cut = marked.join(starts, [*group, "island"]).withColumn("chunk", F.floor((F.col("rank") - F.col("__start")) / max_msgs).cast("int"))
     sequence = F.struct(*order, F.col(id_col).alias("__id"))
     made = cut.groupBy(*group, "island", "chunk").agg(F.sort_array(F.collect_list(sequence)).alias("__items"))
     made = made.withColumn("ids", F.transform("__items", lambda x: x["__id"].cast("string")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import exif
@@ -19,9 +19,8 @@ def read_photos(spark: SparkSession, root: str, source_tz: str) -> DataFrame:
     before the image header: its place stays even if its time is missing, and once it has a time the header is not
     asked. An image that has to be asked and cannot be read is left out (``unreadable`` lists it)."""
     made = _dated(spark, root, source_tz).where("not lost")
-    w = Window.orderBy("depth", "rel")
     meta = F.to_json(F.struct("lat", "lon", "taken_source"))
-    numbered = made.withColumn("seq", F.row_number().over(w).cast("long"))
+    numbered = made.orderBy("depth", "rel").withColumn("seq", F.monotonically_increasing_id())  # rising, not consecutive
     return normalized(
         numbered.select(
             F.lit("photo").alias("source"), F.lit(None).cast("string").alias("thread"), "ts", F.lit(None).cast("string").alias("sender"), F.lit(None).cast("string").alias("text"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon import identity
 from quillon.functions import scalars as S
 from quillon.operators import facts as fx
-from quillon.operators import vector, windows
+from quillon.operators import ordered, vector, windows
 from quillon.operators.graph import components
 
 T0 = datetime(2024, 1, 1)
@@ -39,6 +39,22 @@ def test_windows_against_a_loop(spark, seed):
     assert [[int(i) for i in r.ids] for r in got] == loop_windows(rows, 7, 180)
 
 
+def test_windows_of_a_group_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "GROUP_ROWS", 30)
+    rng = random.Random(9)
+    rows, t = [], T0
+    for k in range(200):
+        t += timedelta(minutes=rng.choice([0, 5, 180, 181, 400]))
+        rows.append((k, None if rng.random() < 0.1 else t, rng.random() < 0.05))
+    df = spark.createDataFrame([("g", *r) for r in rows] + [("h", *r) for r in rows[:20]], "g string, seq long, ts timestamp, alone boolean")
+    got = windows.conversation_windows(df, ["g"], ["seq"], "seq", "ts", 7, 180, F.col("alone")).orderBy("g", "window_no").collect()
+    assert [[int(i) for i in r.ids] for r in got if r.g == "g"] == loop_windows(rows, 7, 180)
+    assert [[int(i) for i in r.ids] for r in got if r.g == "h"] == loop_windows(rows[:20], 7, 180)
+    numbers = ordered.with_number(df.where("g = 'g'").select((-F.col("seq")).alias("s")), ["s"], "n", part_rows=20).collect()
+    assert all(r.n == r.s + 200 for r in numbers) and len(numbers) == 200
+    assert ordered.with_number(df.limit(0), ["seq"], "n").count() == 0
+
+
 def test_round_robin_against_a_loop(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice("abc"), rng.randrange(5)) for k in range(40)]
