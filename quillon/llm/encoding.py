@@ -36,6 +36,8 @@ GREEK_PERCENT = {
 }
 
 MOST_LAYERS, SURE_SEQUENCES = 3, 3
+#: Longer texts are handled alike but not remembered, so that the caches stay small.
+REMEMBERED_LENGTH = 1000
 _C1_THROUGH = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254")
 _LOST = "�"
 
@@ -156,9 +158,13 @@ def _east_asian(c: str) -> tuple[float, float, float]:
     return min(level("gb2312", 0xB0, 0xD7), level("big5", 0xA4, 0xC6) + 0.2), level("cp932", 0x88, 0x97), 1.0
 
 
-@functools.lru_cache(maxsize=16_384)
 def garbling(text: str) -> float:
     """How garbled a text looks; 0 for ordinary text."""
+    return _garbling(text) if len(text) <= REMEMBERED_LENGTH else _garbling.__wrapped__(text)
+
+
+@functools.lru_cache(maxsize=16_384)
+def _garbling(text: str) -> float:
     total = 0.05 * len(_NONASCII.findall(text))
     for pattern, weight in _COSTS:
         total += weight * len(pattern.findall(text))
@@ -234,11 +240,15 @@ def _parts(text: str, explaining: list[str]) -> list[str]:
     return out
 
 
-@functools.lru_cache(maxsize=65_536)
 def repair(text: str | None) -> str | None:
     """The original of a damaged text, the empty string where bytes were lost, None for a clean text."""
     if not text or text.isascii():
         return None
+    return _repair(text) if len(text) <= REMEMBERED_LENGTH else _repair.__wrapped__(text)
+
+
+@functools.lru_cache(maxsize=65_536)
+def _repair(text: str) -> str | None:
     if _LOST in text:
         return ""
     cost, best = _cheapest(text, MOST_LAYERS)
