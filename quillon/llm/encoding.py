@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import math
 import unicodedata
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -35,7 +36,7 @@ GREEK_PERCENT = {
     "θ": 1.3, "χ": 1.2, "φ": 0.8, "β": 0.7, "ξ": 0.4, "ζ": 0.4, "ψ": 0.2, "ά": 1.7, "έ": 1.9, "ή": 1.4, "ί": 2.6, "ό": 1.9, "ύ": 1.0, "ώ": 0.9, "ϊ": 0.1, "ϋ": 0.02, "ΐ": 0.02, "ΰ": 0.01,
 }
 
-MOST_LAYERS, SURE_SEQUENCES = 3, 3
+MOST_LAYERS = 3
 #: Longer texts are handled alike but not remembered, so that the caches stay small.
 REMEMBERED_LENGTH = 1000
 _C1_THROUGH = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254")
@@ -113,7 +114,6 @@ _COSTS = tuple(
         (r"[-]|\p{Cn}", 3.0),
         (rf"(?<=[\p{{L}}\p{{S}}¡-¿])[{_SUSPECT_SYMBOL}]|[{_SUSPECT_SYMBOL}](?=\p{{L}})", 1.0),
         (r"[Â-ô][\x80-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]", 1.5),
-        (r"(?<=\p{Ll})\p{Lu}", 0.8),
         (r"(?<=\p{Latin})[\p{Cyrillic}\p{Greek}\p{Thai}\p{Arabic}\p{Hebrew}]|(?<=[\p{Cyrillic}\p{Greek}\p{Thai}\p{Arabic}\p{Hebrew}])\p{Latin}", 1.0),
         (r"(?<=\p{Greek})[\p{Cyrillic}\p{Hebrew}\u0600-\u06ff]|(?<=\p{Cyrillic})[\p{Greek}\p{Hebrew}\u0600-\u06ff]|(?<=[\p{Hebrew}\u0600-\u06ff])[\p{Greek}\p{Cyrillic}]", 1.0),
         (r"[╨╤][^\s╨╤]|(?<=\p{L})[─-▟]|[─-▟](?=\p{L})|(?<=\p{L})[‚„]|[–—][^\s\p{L}\p{N}.,;:!?…–—\-]|‚[À-ÿ¢£]", 1.0),
@@ -125,6 +125,9 @@ _COSTS = tuple(
         (r"(?<=[\x21-\x7e])(?=[“„‚‘’”…–—])(?<![\s(\[A-Za-z0-9.,;:!?])|(?<=[‘’“”–—…‚„])[\p{L}--[A-Za-z]](?=[‘’“”–—…‚„])", 0.5),
     )
 )
+_CAPITAL_INSIDE = regex.compile(r"(?<=\p{Ll})\p{Lu}")
+#: What the costs look at: characters beyond ASCII and two neighbours on either side.
+_NEAR = regex.compile(r"[\x00-\x7f]{0,2}[^\x00-\x7f]+[\x00-\x7f]{0,2}")
 _ACCENTED_WORD = regex.compile(r"(?<![\p{L}])[À-ÿŒœŠšŽžŸƒ]{2,}(?![\p{L}])|[À-ÿ]{3,}")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 _CYR = regex.compile(r"[Ѐ-ӿ]")
@@ -160,7 +163,9 @@ def _east_asian(c: str) -> tuple[float, float, float]:
 
 def garbling(text: str) -> float:
     """How garbled a text looks; 0 for ordinary text."""
-    return _garbling(text) if len(text) <= REMEMBERED_LENGTH else _garbling.__wrapped__(text)
+    near = "".join(_NEAR.findall(text))
+    capitals = 0.8 * len(_CAPITAL_INSIDE.findall(text))
+    return capitals + (_garbling(near) if len(near) <= REMEMBERED_LENGTH else _garbling.__wrapped__(near))
 
 
 @functools.lru_cache(maxsize=16_384)
@@ -190,20 +195,16 @@ def _explaining(text: str) -> list[str]:
     return [w for w in WRONG_FOR_UTF8 if _explains(w, text, chars)]
 
 
-def _whole(text: str, explaining: list[str], many: bool) -> list[str]:
-    """Strict round trips of the whole text; ``many``: it has so many sequences that UTF-8 alone explains them."""
+def _whole(text: str, explaining: list[str]) -> list[str]:
+    """Strict round trips of the whole text, under every encoding that explains it."""
     out = []
-    for wrong in sorted(explaining, key=lambda w: w not in WRONG_IN_PARTS):
-        if out and wrong not in WRONG_IN_PARTS:
-            break  # the rarer encodings count where none of the common ones fits
+    for wrong in explaining:
         raw = _back(text, wrong)
         if raw is not None:
             try:
                 out.append(raw.decode("utf-8"))
             except UnicodeDecodeError:
                 pass
-    if out and many:
-        return out  # so many valid sequences do not come about by chance
     chars = set(text)
     if _CYR.search(text):
         pairs = CYRILLIC_PAIRS if _INVERTED.search(text) else ()
@@ -257,32 +258,29 @@ def _repair(text: str) -> str | None:
     return "" if _LOST in best else best
 
 
+#: Of equally garbled results the first stays, so that the order of the encodings decides.
+_cost = itemgetter(0)
+
+
 def _cheapest(text: str, layers: int) -> tuple[float, str]:
     """The least garbled text that up to ``layers`` round trips lead to; each layer has to pay for itself."""
     explaining = _explaining(text) if layers and not text.isascii() else []
-    many = max((len(_sequences(w).findall(text)) for w in explaining), default=0) >= SURE_SEQUENCES
-    candidates = set(_whole(text, explaining, many)) if layers else set()
-    if layers and not (many and candidates):
-        candidates.update(_parts(text, explaining))
-    candidates.discard(text)
+    candidates = dict.fromkeys([*_whole(text, explaining), *_parts(text, explaining)] if layers else ())
+    candidates.pop(text, None)
     if not candidates and layers == MOST_LAYERS:
         return 0.0, text
-    if len(candidates) == 1 and layers == MOST_LAYERS:
-        only = next(iter(candidates))
-        if many and not _explaining(only) and _LOST not in only:
-            return -1.0, only  # so many sequences cost more than any ordinary text that they become
     own = garbling(text)
     best = (own, text)
     ahead = []
     for new in candidates:
         cost = garbling(new) + 0.05
-        best = min(best, (cost, new))
+        best = min(best, (cost, new), key=_cost)
         if cost < own + 1:
             ahead.append((cost, new))
-    for cost, new in sorted(ahead)[:6]:
+    for cost, new in sorted(ahead, key=_cost)[:6]:
         if cost > 0.3:
             deeper, end = _cheapest(new, layers - 1)
-            best = min(best, (deeper + 0.05, end))
+            best = min(best, (deeper + 0.05, end), key=_cost)
     return best
 
 

@@ -29,6 +29,14 @@ def test_other_origins(text, right, wrong):
     assert E.repair(through(text, right, wrong)) == text
 
 
+@pytest.mark.parametrize("text", ["für", "très", "hôtel", "fährt", "für für für für", "для меня", "会議"])
+@pytest.mark.parametrize("wrong", E.WRONG_FOR_UTF8)
+def test_every_encoding_competes(text, wrong):
+    if (text[0], wrong) != ("f", "iso8859-2") or "ä" in text:  # 'fĂźr' is 'fßr' under cp1250 at the same cost
+        chars = E._char_of(wrong)
+        assert E.repair("".join(chars.get(b, chr(b)) for b in text.encode())) == text
+
+
 def test_layers_parts_and_losses():
     twice = through(through(SOUND[0], "utf-8", "latin-1"), "utf-8", "cp1252")
     assert E.repair(twice) == SOUND[0]
