@@ -33,9 +33,9 @@ THAI_PARTICLES = ("ครับ", "ค่ะ", "คะ", "จ้ะ", "จ๊ะ
 WRAPPED_SOURCES = ("letter",)
 LABELLED_SOURCES = ("whatsapp", "sms", "imessage", "instagram")
 
-#: Occurrences before the counts of a word are trusted; share of sure ends below which it is an abbreviation; most
-#: words in the table that every worker gets.
-TRUSTED, END_SHARE, MOST_WORDS = 20, 0.03, 20_000
+#: Occurrences before the counts of a word are trusted; share of sure ends below which it is an abbreviation, and from which
+#: a listed one is none; most words in the table that every worker gets.
+TRUSTED, END_SHARE, OFTEN_LAST_SHARE, MOST_WORDS = 20, 0.03, 0.3, 20_000
 
 _LINE = regex.compile(r"[^\n\r\v\f\x1c-\x1e\x85  ]+")
 _PARAGRAPH_END = regex.compile(r"(?:\r\n|[\n\r\x85 ])[^\S\n\r]*(?:\r\n|[\n\r\x85 ])\s*| \s*")
@@ -90,10 +90,10 @@ def _enclosed(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 class Words:
-    """What the corpus and one document say about words before a full stop."""
+    """What one document, the corpus and the lists say, in this order, about words before a full stop."""
 
-    def __init__(self, never_last: frozenset[str], text: str, wrapped: bool) -> None:
-        self.never_last, self.text, self.wrapped = never_last, text, wrapped
+    def __init__(self, never_last: frozenset[str], text: str, wrapped: bool, often_last: frozenset[str] = frozenset()) -> None:
+        self.never_last, self.often_last, self.text, self.wrapped = never_last, often_last, text, wrapped
         self.last: Counter[str] | None = None
 
     def _document(self) -> None:
@@ -101,9 +101,10 @@ class Words:
         before = ""
         for m in _TOKEN.finditer(self.text):
             word, dot = m[1], m[2]
-            if word[0].isupper() and before:
-                self.names.add(word)
             after = self.text[m.end() : m.end() + 2]
+            # A title without its stop stands before a capital, a name that needs none does not.
+            if word[0].isupper() and before and not dot and not (after[:1].isspace() and after[1:].isupper()):
+                self.names.add(word)
             before = word if not dot and word.islower() and after[:1] in (" ", "\xa0") else ""
             if dot:
                 if not after or (after[0] in "\n\r" and (not self.wrapped or not after.strip())):
@@ -111,17 +112,24 @@ class Words:
                 elif after[:1].isspace() and after[1:].islower():
                     self.inside[word] += 1
 
-    def abbreviation(self, word: str) -> bool:
-        """Whether a full stop after the word, before a capital, belongs to the word."""
-        if word in BEFORE_NAME or word in self.never_last:
-            return True
-        if len(word) == 1 and word.isupper():
-            return True
+    def abbreviation(self, word: str, following: str = "") -> bool:
+        """Whether a full stop after the word, before ``following`` with a capital, belongs to the word."""
         if self.last is None:
             self._document()
-        return word not in MAY_END and self.inside[word] > 1 and not self.last[word] and len(word) <= 5
+        inside, last = self.inside[word], self.last[word]
+        if inside > 1 and not last and len(word) <= 5 and word not in MAY_END:
+            return True
+        # A letter that stands alone or last in one place may be an initial in another.
+        if len(word) > 1 and not inside and (self.name(word) or (last and not self.name(following))):
+            return False
+        if word in self.never_last:
+            return True
+        if word in self.often_last:
+            return False
+        return word in BEFORE_NAME or (len(word) == 1 and word.isupper())
 
     def name(self, word: str) -> bool:
+        """Whether the document has the word as a proper name where no sentence begins."""
         if self.last is None:
             self._document()
         return word in self.names
@@ -156,24 +164,24 @@ def _ends(text: str, m: regex.Match, start: int, end: int, words: Words) -> bool
     if found is None:
         return True
     word = found[0]
+    nxt = _NEXT_WORD.match(text, stop, end)
     if first.isdigit():
         return not (word in BEFORE_NUMBER or word in BEFORE_NAME or words.abbreviation(word))
     if word in ("p.m", "a.m", "P.M", "A.M"):
-        nxt = _NEXT_WORD.match(text, stop, end)
         return not (nxt and nxt[1] in DAYS_AND_MONTHS)
     if word == "г":
         return text[max(start, found.start() - 2) : found.start()].strip()[-1:].isdigit()
     if word in ("No", "no", "Nr"):
         return True
-    return not words.abbreviation(word)
+    return not words.abbreviation(word, nxt[1] if nxt else "")
 
 
-def sentences(text: str | None, source: str | None = None, never_last: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+def sentences(text: str | None, source: str | None = None, never_last: frozenset[str] = frozenset(), often_last: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """Code point spans of the sentences of one text."""
     if not text or text.isspace():
         return []
     kind = (source or "").strip().lower()
-    words = Words(never_last, text, kind in WRAPPED_SOURCES)
+    words = Words(never_last, text, kind in WRAPPED_SOURCES, often_last)
     out: list[tuple[int, int]] = []
     for start, end in _units(text, kind in WRAPPED_SOURCES):
         if text[start:end].isspace() or start == end:
@@ -243,21 +251,31 @@ def word_evidence(documents: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("stops", "sure_ends", "bare")))
 
 
+def corpus_words(documents: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """Words that a full stop often follows and that the corpus never shows last, at most ``MOST_WORDS``; and the
+    listed words that it mostly shows without one and otherwise often last."""
+    trusted = word_evidence(documents).where(F.col("stops") >= TRUSTED)
+    never = (F.col("sure_ends") < END_SHARE * F.col("stops")) & (F.col("bare") * 2 < F.col("stops"))
+    often = F.col("word").isin(*BEFORE_NAME) & (F.col("sure_ends") >= OFTEN_LAST_SHARE * F.col("stops")) & (F.col("bare") > F.col("stops"))
+    chosen = trusted.select("word", "stops", never.alias("never"), often.alias("often")).where("never or often")
+    rows = chosen.orderBy(F.desc("often"), F.desc("stops"), "word").limit(MOST_WORDS + len(BEFORE_NAME)).collect()
+    return frozenset([r.word for r in rows if r.never][:MOST_WORDS]), frozenset(r.word for r in rows if r.often)
+
+
 def abbreviations(documents: DataFrame) -> frozenset[str]:
-    """Words that a full stop often follows and that the corpus never shows last; at most ``MOST_WORDS``."""
-    sure = word_evidence(documents).where((F.col("stops") >= TRUSTED) & (F.col("sure_ends") < END_SHARE * F.col("stops")) & (F.col("bare") * 2 < F.col("stops")))
-    return frozenset(r.word for r in sure.orderBy(F.desc("stops"), "word").limit(MOST_WORDS).select("word").collect())
+    """Words that a full stop often follows and that the corpus never shows last."""
+    return corpus_words(documents)[0]
 
 
 def split(documents: DataFrame) -> DataFrame:
     """(doc_id, sent_start, sent_end): one row per sentence of every document."""
-    never_last = abbreviations(documents)
+    never_last, often_last = corpus_words(documents)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, ends = [], [], []
             for doc, text, source in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = sentences(text, source, never_last)
+                spans = sentences(text, source, never_last, often_last)
                 ids += [doc] * len(spans)
                 starts += [a for a, _ in spans]
                 ends += [b for _, b in spans]

@@ -47,3 +47,19 @@ def test_corpus_counts_find_abbreviations(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert "qrst" in S.abbreviations(df) and "ended" not in S.abbreviations(df)
     assert min(r.sent_end for r in S.split(df).where("doc_id = 3 and sent_start = 0").collect()) > 20
+
+
+@pytest.mark.parametrize("more", ["Heute kommt Jan nicht.", "Alle mögen Jan.\nGut."])
+def test_document_overrules_lists(more):
+    spans = lambda text, **k: [text[a:b] for a, b in S.sentences(text, **k)]
+    assert spans(f"Ich traf Jan. Er ging. {more}")[:2] == ["Ich traf Jan.", "Er ging."]
+    assert spans(f"Ich traf Jan. Er ging. {more}", never_last=frozenset({"Jan"}))[0] == "Ich traf Jan."
+    assert spans("Ich traf Jan. Er ging.", often_last=frozenset({"Jan"}))[0] == "Ich traf Jan."
+    assert spans("We met Dr Smith here. Then Dr. Jones left.") == ["We met Dr Smith here.", "Then Dr. Jones left."]
+    assert spans("He saw Mary here.\nMain St.\nAt St. Mary it rained.")[2:] == ["At St. Mary it rained."]
+
+
+def test_corpus_counts_overrule_the_list(spark):
+    rows = [(k, f"Jan kam heute {k} mal\nWir trafen Jan.\nMit Jan und Eva", "diary") for k in range(30)]
+    never, often = S.corpus_words(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert "Jan" in often and "Jan" not in never
