@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The encodings text is wrongly read as when it was UTF-8, those of them that damage parts of texts,
+# The encodings text is wrongly read as when it was UTF-8, those of them whose sequences are no words,
 # pairs (wrongly read as, really) of other origin, and the share in percent of the letters in Russian and Greek text.
 WRONG_FOR_UTF8 = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp866", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15")
-WRONG_IN_PARTS = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251")
+LATIN_LEADS = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251")
 OTHER_PAIRS = tuple((w, i) for w in ("latin-1", "cp1252") for i in ("gb18030", "cp932", "euc_jp", "big5", "euc_kr", "cp1251", "koi8-r", "cp1253"))
 CYRILLIC_PAIRS = (("cp1251", "koi8-r"), ("koi8-r", "cp1251"))
 RUSSIAN_PERCENT = {
@@ -125,6 +125,8 @@ _COSTS = tuple(
         (r"(?<=[\x21-\x7e])(?=[“„‚‘’”…–—])(?<![\s(\[A-Za-z0-9.,;:!?])|(?<=[‘’“”–—…‚„])[\p{L}--[A-Za-z]](?=[‘’“”–—…‚„])", 0.5),
     )
 )
+#: Russian and Greek words and parts of them, which some code pages make UTF-8 sequences of ('её' in KOI8-R).
+_MERE_WORD = regex.compile(r"(?=[\p{Cyrillic}\p{Greek}]+$)\p{Lu}?\p{Ll}+")
 _CAPITAL_INSIDE = regex.compile(r"(?<=\p{Ll})\p{Lu}")
 #: What the costs look at: characters beyond ASCII and two neighbours on either side.
 _NEAR = regex.compile(r"[\x00-\x7f]{0,2}[^\x00-\x7f]+[\x00-\x7f]{0,2}")
@@ -195,6 +197,14 @@ def _explaining(text: str) -> list[str]:
     return [w for w in WRONG_FOR_UTF8 if _explains(w, text, chars)]
 
 
+def _pairs(text: str) -> tuple[tuple[str, str], ...]:
+    """The pairs of other origin than UTF-8 that the looks of the text leave open."""
+    chars = set(text)
+    if _CYR.search(text):
+        return CYRILLIC_PAIRS if _INVERTED.search(text) else ()
+    return OTHER_PAIRS if not (_SUSPECT_CHARS.isdisjoint(chars) and not _ACCENTED.search(text)) and _SUSPECT.search(text) else ()
+
+
 def _whole(text: str, explaining: list[str]) -> list[str]:
     """Strict round trips of the whole text, under every encoding that explains it."""
     out = []
@@ -205,13 +215,8 @@ def _whole(text: str, explaining: list[str]) -> list[str]:
                 out.append(raw.decode("utf-8"))
             except UnicodeDecodeError:
                 pass
-    chars = set(text)
-    if _CYR.search(text):
-        pairs = CYRILLIC_PAIRS if _INVERTED.search(text) else ()
-    else:
-        pairs = OTHER_PAIRS if not (_SUSPECT_CHARS.isdisjoint(chars) and not _ACCENTED.search(text)) and _SUSPECT.search(text) else ()
     raws: dict[str, bytes | None] = {}
-    for wrong, right in pairs:
+    for wrong, right in _pairs(text):
         if wrong not in raws:
             raws[wrong] = _back(text, wrong)
         if raws[wrong] is not None:
@@ -222,23 +227,53 @@ def _whole(text: str, explaining: list[str]) -> list[str]:
     return out
 
 
-def _parts(text: str, explaining: list[str]) -> list[str]:
-    """The text with its damaged runs repaired, once for each wrong encoding that explains any."""
-    out = []
-    for wrong in explaining:
-        if wrong not in WRONG_IN_PARTS:
-            continue
+def _decoded(run: str, wrong: str) -> str:
+    """A run of sequences as UTF-8, unchanged where it is none."""
+    try:
+        return run.translate(_byte_of(wrong)).encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return run
 
-        def repaired(m: regex.Match, wrong: str = wrong) -> str:
-            try:
-                return m[0].translate(_byte_of(wrong)).encode("latin-1").decode("utf-8")
-            except UnicodeDecodeError:
-                return m[0]
 
-        new = _sequences(wrong).sub(repaired, text)
-        if new != text:
-            out.append(new)
-    return out
+def _farthest(text: str, explaining: list[str]) -> list[str]:
+    """The encodings but those whose sequences lie within another's that has more: one encoding damages a run."""
+    if len(explaining) < 2:
+        return explaining
+    at = {w: {i for m in _sequences(w).finditer(text) for i in range(*m.span())} for w in explaining}
+    return [w for w in explaining if not any(at[w] < other for other in at.values())]
+
+
+def _parts(text: str, explaining: list[str], partly: bool) -> list[str]:
+    """The text with its damaged runs repaired, once for each wrong encoding that explains any; for pairs of other
+    origin, with the stretches repaired that the wrong encoding can have produced. ``partly``: nothing explains the
+    whole text, without which only the encodings of ``LATIN_LEADS`` count. The layers bring in further encodings."""
+    if partly:
+        used = _farthest(text, [w for w in explaining if w in LATIN_LEADS or not all(_MERE_WORD.fullmatch(m[0]) for m in _sequences(w).finditer(text))])
+    else:
+        used = [w for w in explaining if w in LATIN_LEADS]
+    out = [_sequences(w).sub(lambda m, w=w: _decoded(m[0], w), text) for w in used]
+    for wrong, right in _pairs(text) if partly else ():
+        outside = _outside(wrong)
+        if outside.search(text):
+            out.append(_stretches(wrong).sub(lambda m, wrong=wrong, right=right: _read_as(m[0], wrong, right, used), text))
+    return [new for new in out if new != text]
+
+
+@functools.cache
+def _stretches(wrong: str) -> regex.Pattern:
+    """Stretches of characters that the wrong encoding can have produced, from the first beyond ASCII."""
+    chars = regex.escape("".join(_char_of(wrong).values()), special_only=False)
+    return regex.compile(f"[{chars}][\x00-\x7f{chars}]*")
+
+
+def _read_as(stretch: str, wrong: str, right: str, used: list[str]) -> str:
+    """The stretch as the pair has it; unchanged where it is none or UTF-8 sequences are all that is in it."""
+    if any(_sequences(w).sub("", stretch).isascii() for w in used):
+        return stretch
+    try:
+        return stretch.translate(_byte_of(wrong)).encode("latin-1").decode(right)
+    except UnicodeDecodeError:
+        return stretch
 
 
 def repair(text: str | None) -> str | None:
@@ -262,10 +297,13 @@ def _repair(text: str) -> str | None:
 _cost = itemgetter(0)
 
 
-def _cheapest(text: str, layers: int) -> tuple[float, str]:
+def _cheapest(text: str, layers: int, partly: bool = False) -> tuple[float, str]:
     """The least garbled text that up to ``layers`` round trips lead to; each layer has to pay for itself."""
     explaining = _explaining(text) if layers and not text.isascii() else []
-    candidates = dict.fromkeys([*_whole(text, explaining), *_parts(text, explaining)] if layers else ())
+    whole = _whole(text, explaining) if layers else []
+    if layers == MOST_LAYERS:
+        partly = not whole
+    candidates = dict.fromkeys([*whole, *_parts(text, explaining, partly)] if layers else ())
     candidates.pop(text, None)
     if not candidates and layers == MOST_LAYERS:
         return 0.0, text
@@ -279,7 +317,7 @@ def _cheapest(text: str, layers: int) -> tuple[float, str]:
             ahead.append((cost, new))
     for cost, new in sorted(ahead, key=_cost)[:6]:
         if cost > 0.3:
-            deeper, end = _cheapest(new, layers - 1)
+            deeper, end = _cheapest(new, layers - 1, partly)
             best = min(best, (deeper + 0.05, end), key=_cost)
     return best
 

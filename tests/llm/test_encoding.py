@@ -37,6 +37,19 @@ def test_every_encoding_competes(text, wrong):
         assert E.repair("".join(chars.get(b, chr(b)) for b in text.encode())) == text
 
 
+@pytest.mark.parametrize("sound", ["🎵", "你"])
+@pytest.mark.parametrize("text", ["très", "hôtel", "fährt", "łódź", "для меня"])
+@pytest.mark.parametrize("wrong", E.WRONG_FOR_UTF8)
+def test_parts_of_every_encoding(text, wrong, sound):
+    chars = E._char_of(wrong)
+    assert E.repair("".join(chars.get(b, chr(b)) for b in text.encode()) + " " + sound) == f"{text} {sound}"
+
+
+def test_parts_of_other_origin():
+    assert E.repair(through(SOUND[2], "cp1251", "latin-1") + " 🎵") == SOUND[2] + " 🎵"
+    assert E.repair("её моё твоё ряд рад 🎵") is None
+
+
 def test_layers_parts_and_losses():
     twice = through(through(SOUND[0], "utf-8", "latin-1"), "utf-8", "cp1252")
     assert E.repair(twice) == SOUND[0]
