@@ -93,36 +93,31 @@ def _any_sequence() -> regex.Pattern:
     return regex.compile(f"[{lead}][{tail}]")
 
 
-def _explains(wrong: str, text: str, chars: set[str]) -> bool:
-    """Whether the text has UTF-8 sequences under this wrong encoding."""
-    lead, tail = _signs(wrong)
-    return not lead.isdisjoint(chars) and not tail.isdisjoint(chars) and _sequences(wrong).search(text) is not None
-
-
-def _back(text: str, wrong: str) -> bytes | None:
-    if _outside(wrong).search(text):
+def _back(text: str, wrong: str, look: int) -> bytes | None:
+    """The bytes that the wrong encoding was shown, None if it cannot have produced the text."""
+    if look & _OUTSIDE[wrong]:
         return None
     return text.translate(_byte_of(wrong)).encode("latin-1")
 
 
-_NONASCII = regex.compile(r"[^\x00-\x7f]")
 _SUSPECT_SYMBOL = "¢£¤¥¦§¨©ª¬\xad®¯±²³´µ¶·¸¹º¼½¾×÷ƒˆ˜†‡•‰‹›€™√∫≈∆◊Ω∂∑∏∞≤≥≠⁄ﬁﬂ⌐⌠⌡∙ªΓΘΣΦ∩δε"
+#: What garbling looks like, its weight, and a character without which it cannot occur.
 _COSTS = tuple(
-    (regex.compile(p), w)
-    for p, w in (
-        (r"[\x80-\x9f]", 2.0),
-        (r"[-]|\p{Cn}", 3.0),
-        (rf"(?<=[\p{{L}}\p{{S}}¡-¿])[{_SUSPECT_SYMBOL}]|[{_SUSPECT_SYMBOL}](?=\p{{L}})", 1.0),
-        (r"[Â-ô][\x80-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]", 1.5),
-        (r"(?<=\p{Latin})[\p{Cyrillic}\p{Greek}\p{Thai}\p{Arabic}\p{Hebrew}]|(?<=[\p{Cyrillic}\p{Greek}\p{Thai}\p{Arabic}\p{Hebrew}])\p{Latin}", 1.0),
-        (r"(?<=\p{Greek})[\p{Cyrillic}\p{Hebrew}\u0600-\u06ff]|(?<=\p{Cyrillic})[\p{Greek}\p{Hebrew}\u0600-\u06ff]|(?<=[\p{Hebrew}\u0600-\u06ff])[\p{Greek}\p{Cyrillic}]", 1.0),
-        (r"[╨╤][^\s╨╤]|(?<=\p{L})[─-▟]|[─-▟](?=\p{L})|(?<=\p{L})[‚„]|[–—][^\s\p{L}\p{N}.,;:!?…–—\-]|‚[À-ÿ¢£]", 1.0),
-        (r"(?<!\p{Cyrillic})\p{Cyrillic}[°-¿]|(?<=[\p{Ll}\p{Lu}])[ↀ-⓿]|[ↀ-⓿](?=\p{L})", 1.0),
-        (r"[\u0180-\u0217\u021c-\u024f]", 1.0),
-        (r"[｡-ﾟ]|[ÃÂ][^\s\x00-\x7f]", 0.8),
-        (r"(?<=\p{Latin})\p{Hangul}(?!\p{Hangul})|(?<![\p{Thai}\p{Devanagari}\p{Arabic}])[\u0300-\u036f]", 1.5),
-        (r"(?<=[a-z])\p{Han}{1,2}(?=[a-z])|(?<![^\s])\p{Han}(?=[a-z])", 3.0),
-        (r"(?<=[\x21-\x7e])(?=[“„‚‘’”…–—])(?<![\s(\[A-Za-z0-9.,;:!?])|(?<=[‘’“”–—…‚„])[\p{L}--[A-Za-z]](?=[‘’“”–—…‚„])", 0.5),
+    (regex.compile(p), w, regex.compile(gate))
+    for p, w, gate in (
+        (r"[\x80-\x9f]", 2.0, r"[\x80-\x9f]"),
+        (r"[-]|\p{Cn}", 3.0, r"\p{Co}|\p{Cn}"),
+        (rf"(?<=[\p{{L}}\p{{S}}¡-¿])[{_SUSPECT_SYMBOL}]|[{_SUSPECT_SYMBOL}](?=\p{{L}})", 1.0, f"[{_SUSPECT_SYMBOL}]"),
+        (r"[Â-ô][\x80-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]", 1.5, r"[Â-ô]"),
+        (r"(?<=\p{Latin})[\p{Cyrillic}\p{Greek}\p{Thai}\p{Arabic}\p{Hebrew}]|(?<=[\p{Cyrillic}\p{Greek}\p{Thai}\p{Arabic}\p{Hebrew}])\p{Latin}", 1.0, r"[\p{Cyrillic}\p{Greek}\p{Thai}\p{Arabic}\p{Hebrew}]"),
+        (r"(?<=\p{Greek})[\p{Cyrillic}\p{Hebrew}\u0600-\u06ff]|(?<=\p{Cyrillic})[\p{Greek}\p{Hebrew}\u0600-\u06ff]|(?<=[\p{Hebrew}\u0600-\u06ff])[\p{Greek}\p{Cyrillic}]", 1.0, r"[\p{Cyrillic}\p{Hebrew}؀-ۿ]"),
+        (r"[╨╤][^\s╨╤]|(?<=\p{L})[─-▟]|[─-▟](?=\p{L})|(?<=\p{L})[‚„]|[–—][^\s\p{L}\p{N}.,;:!?…–—\-]|‚[À-ÿ¢£]", 1.0, r"[─-▟‚„–—]"),
+        (r"(?<!\p{Cyrillic})\p{Cyrillic}[°-¿]|(?<=[\p{Ll}\p{Lu}])[ↀ-⓿]|[ↀ-⓿](?=\p{L})", 1.0, r"[\p{Cyrillic}ↀ-⓿]"),
+        (r"[\u0180-\u0217\u021c-\u024f]", 1.0, r"[ƀ-ȗȜ-ɏ]"),
+        (r"[｡-ﾟ]|[ÃÂ][^\s\x00-\x7f]", 0.8, r"[｡-ﾟÃÂ]"),
+        (r"(?<=\p{Latin})\p{Hangul}(?!\p{Hangul})|(?<![\p{Thai}\p{Devanagari}\p{Arabic}])[\u0300-\u036f]", 1.5, r"[\p{Hangul}̀-ͯ]"),
+        (r"(?<=[a-z])\p{Han}{1,2}(?=[a-z])|(?<![^\s])\p{Han}(?=[a-z])", 3.0, r"\p{Han}"),
+        (r"(?<=[\x21-\x7e])(?=[“„‚‘’”…–—])(?<![\s(\[A-Za-z0-9.,;:!?])|(?<=[‘’“”–—…‚„])[\p{L}--[A-Za-z]](?=[‘’“”–—…‚„])", 0.5, r"[“„‚‘’”…–—]"),
     )
 )
 #: Russian and Greek words and parts of them, which some code pages make UTF-8 sequences of ('её' in KOI8-R).
@@ -131,9 +126,19 @@ _CAPITAL_INSIDE = regex.compile(r"(?<=\p{Ll})\p{Lu}")
 #: What the costs look at: characters beyond ASCII and two neighbours on either side.
 _NEAR = regex.compile(r"[\x00-\x7f]{0,2}[^\x00-\x7f]+[\x00-\x7f]{0,2}")
 _ACCENTED_WORD = regex.compile(r"(?<![\p{L}])[À-ÿŒœŠšŽžŸƒ]{2,}(?![\p{L}])|[À-ÿ]{3,}")
+_ONE_ACCENTED = regex.compile(r"[À-ÿŒœŠšŽžŸƒ]")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 _CYR = regex.compile(r"[Ѐ-ӿ]")
 _GREEK = regex.compile(r"[Ͱ-Ͽ]")
+_GATES = (*(gate for _, _, gate in _COSTS), _ONE_ACCENTED, _HAN, _CYR, _GREEK)
+
+
+@functools.lru_cache(maxsize=65_536)
+def _opens(c: str) -> int:
+    """The patterns that the character makes possible, as bits."""
+    return sum(1 << k for k, gate in enumerate(_GATES) if gate.match(c))
+
+
 #: Where none of these is, a text of other than Cyrillic letters was not read from a legacy encoding.
 _SUSPECT = regex.compile(rf"[\x80-\x9f]|(?<=[\p{{L}}\p{{S}}¡-¿])[{_SUSPECT_SYMBOL}]|[{_SUSPECT_SYMBOL}](?=\p{{L}})|(?<!\p{{L}})[À-ÿŒœŠšŽžŸƒ]{{2,}}(?!\p{{L}})|[À-ÿ]{{3,}}|[‚ƒ„][^\s\w]|(?<=\p{{L}})[‚„ƒ]|‚[À-ÿ¢£]")
 _SUSPECT_CHARS = frozenset({*map(chr, range(0x80, 0xA0)), *_SUSPECT_SYMBOL.replace("-", ""), *"‚ƒ„"})
@@ -172,56 +177,74 @@ def garbling(text: str) -> float:
 
 @functools.lru_cache(maxsize=16_384)
 def _garbling(text: str) -> float:
-    total = 0.05 * len(_NONASCII.findall(text))
-    for pattern, weight in _COSTS:
-        total += weight * len(pattern.findall(text))
-    total += 0.7 * sum(map(len, _ACCENTED_WORD.findall(text)))
-    east = _HAN.findall(text)
+    total = 0.05 * (len(text) - len(text.encode("ascii", "ignore")))
+    opened = 0
+    for c in set(text):
+        if c > "\x7f":
+            opened |= _opens(c)
+    for k, (pattern, weight, _) in enumerate(_COSTS):
+        if opened >> k & 1:
+            total += weight * len(pattern.findall(text))
+    accented, east, cyrillic, greek = (pattern.findall(text) if opened >> k & 1 else () for k, pattern in enumerate((_ACCENTED_WORD, _HAN, _CYR, _GREEK), len(_COSTS)))
+    total += 0.7 * sum(map(len, accented))
     if east:
         costs = [_east_asian(c) for c in east]
         total += min(sum(x) for x in zip(*costs))
-    cyrillic = _CYR.findall(text)
     if cyrillic:
         total += max(0.0, sum(_RUSSIAN.get(c.lower(), 1.5) for c in cyrillic))
-    greek = _GREEK.findall(text)
     if greek:
         total += max(0.0, sum(_GREEK_COST.get(c.lower(), 1.5) for c in greek))
     return total
 
 
-def _explaining(text: str) -> list[str]:
+#: Bits of what a character can be: lead, tail or outsider under each wrong encoding, Cyrillic, suspect, accented.
+_LEAD, _TAIL, _OUTSIDE = ({w: 1 << (3 * k + n) for k, w in enumerate(WRONG_FOR_UTF8)} for n in range(3))
+_IS_CYRILLIC, _IS_SUSPECT, _IS_ACCENTED = (1 << (3 * len(WRONG_FOR_UTF8) + n) for n in range(3))
+
+
+@functools.lru_cache(maxsize=65_536)
+def _bits(c: str) -> int:
+    out = (_IS_CYRILLIC if _CYR.match(c) else 0) | (_IS_SUSPECT if c in _SUSPECT_CHARS else 0) | (_IS_ACCENTED if _ONE_ACCENTED.match(c) else 0)
+    for w in WRONG_FOR_UTF8:
+        lead, tail = _signs(w)
+        out |= (_LEAD[w] if c in lead else 0) | (_TAIL[w] if c in tail else 0) | (_OUTSIDE[w] if _outside(w).match(c) else 0)
+    return out
+
+
+def _look(text: str) -> int:
+    """What the characters of the text can be, together."""
+    out = 0
+    for c in set(text):
+        if c > "\x7f":
+            out |= _bits(c)
+    return out
+
+
+def _explaining(text: str, look: int) -> list[str]:
     """The wrong encodings under which the text has UTF-8 sequences."""
-    if not _any_sequence().search(text):
+    able = [w for w in WRONG_FOR_UTF8 if look & _LEAD[w] and look & _TAIL[w]]
+    if not able or not _any_sequence().search(text):
         return []
-    chars = set(text)
-    return [w for w in WRONG_FOR_UTF8 if _explains(w, text, chars)]
+    return [w for w in able if _sequences(w).search(text)]
 
 
-def _pairs(text: str) -> tuple[tuple[str, str], ...]:
+def _pairs(text: str, look: int) -> tuple[tuple[str, str], ...]:
     """The pairs of other origin than UTF-8 that the looks of the text leave open."""
-    chars = set(text)
-    if _CYR.search(text):
+    if look & _IS_CYRILLIC:
         return CYRILLIC_PAIRS if _INVERTED.search(text) else ()
-    return OTHER_PAIRS if not (_SUSPECT_CHARS.isdisjoint(chars) and not _ACCENTED.search(text)) and _SUSPECT.search(text) else ()
+    return OTHER_PAIRS if (look & _IS_SUSPECT or (look & _IS_ACCENTED and _ACCENTED.search(text))) and _SUSPECT.search(text) else ()
 
 
-def _whole(text: str, explaining: list[str]) -> list[str]:
-    """Strict round trips of the whole text, under every encoding that explains it."""
-    out = []
-    for wrong in explaining:
-        raw = _back(text, wrong)
-        if raw is not None:
-            try:
-                out.append(raw.decode("utf-8"))
-            except UnicodeDecodeError:
-                pass
+def _whole(text: str, explaining: list[str], pairs: tuple[tuple[str, str], ...], look: int) -> tuple[list[str], list[str]]:
+    """Strict round trips of the whole text under every encoding that explains it: as UTF-8, and as other encodings."""
+    out: tuple[list[str], list[str]] = ([], [])
     raws: dict[str, bytes | None] = {}
-    for wrong, right in _pairs(text):
+    for wrong, right in (*((w, "utf-8") for w in explaining), *pairs):
         if wrong not in raws:
-            raws[wrong] = _back(text, wrong)
+            raws[wrong] = _back(text, wrong, look)
         if raws[wrong] is not None:
             try:
-                out.append(raws[wrong].decode(right))
+                out[right != "utf-8"].append(raws[wrong].decode(right))
             except UnicodeDecodeError:
                 pass
     return out
@@ -243,7 +266,7 @@ def _farthest(text: str, explaining: list[str]) -> list[str]:
     return [w for w in explaining if not any(at[w] < other for other in at.values())]
 
 
-def _parts(text: str, explaining: list[str], partly: bool) -> list[str]:
+def _parts(text: str, explaining: list[str], pairs: tuple[tuple[str, str], ...], look: int, partly: bool) -> list[str]:
     """The text with its damaged runs repaired, once for each wrong encoding that explains any; for pairs of other
     origin, with the stretches repaired that the wrong encoding can have produced. ``partly``: nothing explains the
     whole text, without which only the encodings of ``LATIN_LEADS`` count. The layers bring in further encodings."""
@@ -252,9 +275,8 @@ def _parts(text: str, explaining: list[str], partly: bool) -> list[str]:
     else:
         used = [w for w in explaining if w in LATIN_LEADS]
     out = [_sequences(w).sub(lambda m, w=w: _decoded(m[0], w), text) for w in used]
-    for wrong, right in _pairs(text) if partly else ():
-        outside = _outside(wrong)
-        if outside.search(text):
+    for wrong, right in pairs if partly else ():
+        if look & _OUTSIDE[wrong]:
             out.append(_stretches(wrong).sub(lambda m, wrong=wrong, right=right: _read_as(m[0], wrong, right, used), text))
     return [new for new in out if new != text]
 
@@ -297,28 +319,34 @@ def _repair(text: str) -> str | None:
 _cost = itemgetter(0)
 
 
-def _cheapest(text: str, layers: int, partly: bool = False) -> tuple[float, str]:
-    """The least garbled text that up to ``layers`` round trips lead to; each layer has to pay for itself."""
-    explaining = _explaining(text) if layers and not text.isascii() else []
-    whole = _whole(text, explaining) if layers else []
-    if layers == MOST_LAYERS:
-        partly = not whole
-    candidates = dict.fromkeys([*whole, *_parts(text, explaining, partly)] if layers else ())
-    candidates.pop(text, None)
-    if not candidates and layers == MOST_LAYERS:
-        return 0.0, text
-    own = garbling(text)
+def _cheapest(text: str, layers: int, partly: bool = False, own: float | None = None) -> tuple[float, str]:
+    """The least garbled text that up to ``layers`` round trips lead to. A further layer is looked for in every
+    result that is less garbled than the text it comes from, and in all strict round trips of the whole as UTF-8: a
+    layer in between may look worse than the one above it."""
+    candidates: dict[str, None] = {}
+    as_utf8: list[str] = []
+    if layers and not text.isascii():
+        look = _look(text)
+        explaining, pairs = _explaining(text, look), _pairs(text, look)
+        if explaining or pairs:
+            as_utf8, otherwise = _whole(text, explaining, pairs, look)
+            if layers == MOST_LAYERS:
+                partly = not (as_utf8 or otherwise)
+            candidates = dict.fromkeys([*as_utf8, *otherwise, *_parts(text, explaining, pairs, look, partly)])
+            candidates.pop(text, None)
+    if not candidates:
+        return own or 0.0, text
+    own = garbling(text) if own is None else own
     best = (own, text)
     ahead = []
     for new in candidates:
-        cost = garbling(new) + 0.05
-        best = min(best, (cost, new), key=_cost)
-        if cost < own + 1:
+        cost = garbling(new)
+        best = min(best, (cost + 0.05, new), key=_cost)
+        if cost > 0.25 and (cost < own or new in as_utf8):
             ahead.append((cost, new))
-    for cost, new in sorted(ahead, key=_cost)[:6]:
-        if cost > 0.3:
-            deeper, end = _cheapest(new, layers - 1, partly)
-            best = min(best, (deeper + 0.05, end), key=_cost)
+    for cost, new in ahead:
+        deeper, end = _cheapest(new, layers - 1, partly, cost)
+        best = min(best, (deeper + 0.05, end), key=_cost)
     return best
 
 

@@ -66,3 +66,16 @@ def test_found(spark):
     md5 = hashlib.md5("Größe".encode()).hexdigest()
     assert {tuple(r) for r in E.found(df).collect()} == {("a", "body", md5), ("a", "sender", md5), ("c", "sender", "")}
     assert E.found(df.limit(0)).count() == 0
+
+
+def test_all_candidates_are_followed():
+    """No candidate of a nested layer is dropped: what is cheap in the end may look worse than many others first."""
+    for text in ("Żółć", "příliš žluťoučký", "smörgåsbord 🎉", "日本語のテキスト", "naïve café — “très”"):
+        for first in ("latin-1", "cp1252"):
+            for second in ("cp437", "mac_roman", "cp850", "latin-1"):
+                try:
+                    once = text.encode().decode(first)
+                    twice = once.encode().decode(second)
+                except UnicodeError:
+                    continue
+                assert E.repair(twice) == text, (text, first, second)
