@@ -1,8 +1,7 @@
 """Sentence boundaries across languages and scripts.
 
 A first pass over all documents counts, for every word, how often it stands before a full stop that surely ends a
-sentence (the end of a line), before one that surely does not (a small letter follows), before one that may, and
-without one. A word that is never last although often followed by a full stop is an abbreviation. In each document
+sentence (the end of a line), before one at all, and without one. A word that is never last although often followed by a full stop is an abbreviation. In each document
 the unambiguous occurrences in that document decide first; where it has none, the counts of the corpus do, then a
 short list of titles. Scripts have their own terminators; Thai ends at a space after a polite particle.
 
@@ -21,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import settle_table
+
 # Abbreviations that stand before a name or a number, words before a German ordinal, words that may
 # also end a sentence, names of days and months (they follow a time of day within a sentence), Thai particles that close a sentence, and the sources
 # whose single line breaks are wrapping or whose lines begin with a speaker's label.
-BEFORE_NAME = frozenset("EE UU Dr Mr Mrs Ms Prof St Sr Sra Dra Srta M Mme Mlle Hr Fr vs cf Avda Av av R Rev Hon Gen Col Capt Sgt ул пр пер д-р г-н г-жа κ κα κκ Δρ डॉ श्री د أ т.е т.п z B d h z.B d.h e.g i.e approx ca env bzw Tel ej p.ej ex p.ex тыс π.χ örn Sept Oct Nov Dec Jan Feb Aug".split())
+BEFORE_NAME = frozenset("Dr Mr Mrs Ms Prof St Sr Sra Dra M Mme Hr Fr vs cf e.g i.e approx z B d h z.B d.h ca EE UU Jan ул κ Δρ डॉ د".split())
 BEFORE_NUMBER = frozenset("No Nr no nr N n Núm núm p pp S ca env approx Tel tel Art Fig Vol Kap стр № αρ".split())
 ORDINAL_LEAD = frozenset("am der die das den dem des vom zum im ab bis seit ein eine einen".split())
 MAY_END = frozenset("etc usw osv г др т.д пр p.m a.m U.S".split())
@@ -34,8 +35,8 @@ WRAPPED_SOURCES = ("letter",)
 LABELLED_SOURCES = ("whatsapp", "sms", "imessage", "instagram")
 
 #: Occurrences before the counts of a word are trusted; share of sure ends below which it is an abbreviation, and from which
-#: a listed one is none; most words in the table that every worker gets.
-TRUSTED, END_SHARE, OFTEN_LAST_SHARE, MOST_WORDS = 20, 0.03, 0.3, 20_000
+#: a listed one is none; share of all full stops that a word of the table has which every worker gets: 50,000 words at most.
+TRUSTED, END_SHARE, OFTEN_LAST_SHARE, LEAST_SHARE = 20, 0.03, 0.3, 0.00002
 
 _LINE = regex.compile(r"[^\n\r\v\f\x1c-\x1e\x85  ]+")
 _PARAGRAPH_END = regex.compile(r"(?:\r\n|[\n\r\x85 ])[^\S\n\r]*(?:\r\n|[\n\r\x85 ])\s*| \s*")
@@ -49,11 +50,17 @@ _WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}]+(?:[.\-][\p{L}\p{M}]+)*")
 _NUMBER_BEFORE = regex.compile(r"(?r)(?<![\d:.,/])\d{1,3}")
 _NEXT = regex.compile(r"\s*[\"“„«「『(（\[¿¡'’‘‹《【\-–—•*]*\s*(.)", regex.DOTALL)
 _NEXT_WORD = regex.compile(r"\s*[\"“„«(¿¡]*([\p{L}\p{M}]+)")
-_LABEL = regex.compile(r"\s*[^:\n\r]{1,80}?:(?=\s)")
+#: A speaker's label may have initials and titles, but no sentence before its colon.
+_LABEL = regex.compile(r"\s*(?:[^:\n\r.!?…。！？]|(?<=(?<!\p{L})\p{L}{1,4})\.)+?:(?=\s)")
 _BULLET = regex.compile(r"\s*(?:[-•*‣◦–—·]\s+|\(?\d{1,3}[.)]\s+|\(?[A-Za-z][)]\s+)+")
 _THAI = regex.compile("(?:" + "|".join(THAI_PARTICLES) + r")(?=[^\S\n\r]+\S)")
 _GREEK_BEFORE = regex.compile(r"(?r)[\p{Greek}\p{M}]")
-_TOKEN = regex.compile(r"([\p{L}\p{M}]+(?:[.\-][\p{L}\p{M}]+)*)(\.?)")
+_TOKEN = r"[\p{L}\p{M}]++(?:[.\-][\p{L}\p{M}]++)*+"
+_WORDS = regex.compile(_TOKEN)
+_STOPPED = regex.compile(rf"(?<![\p{{L}}\p{{M}}])({_TOKEN})\.")
+#: A capital after a word in small letters, where no sentence begins. A title without its stop stands before a capital, a
+#: name that needs none does not.
+_NAME = regex.compile(rf"(?<![\p{{L}}\p{{M}}.\-])\p{{Ll}}[\p{{Ll}}\p{{M}}]*+[ \xa0][\"“„«(]?(\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:[.\-][\p{{L}}\p{{M}}]++)*+)(?!\.|\s\p{{Lu}})")
 
 
 def _units(text: str, wrapped: bool) -> Iterator[tuple[int, int]]:
@@ -95,43 +102,41 @@ class Words:
     def __init__(self, never_last: frozenset[str], text: str, wrapped: bool, often_last: frozenset[str] = frozenset()) -> None:
         self.never_last, self.often_last, self.text, self.wrapped = never_last, often_last, text, wrapped
         self.last: Counter[str] | None = None
+        self.names: frozenset[str] | None = None
 
     def _document(self) -> None:
-        self.last, self.inside, self.names = Counter(), Counter(), set()
-        before = ""
-        for m in _TOKEN.finditer(self.text):
-            word, dot = m[1], m[2]
+        self.last, self.inside = Counter(), Counter()
+        for m in _STOPPED.finditer(self.text):
             after = self.text[m.end() : m.end() + 2]
-            # A title without its stop stands before a capital, a name that needs none does not.
-            if word[0].isupper() and before and not dot and not (after[:1].isspace() and after[1:].isupper()):
-                self.names.add(word)
-            before = word if not dot and word.islower() and after[:1] in (" ", "\xa0") else ""
-            if dot:
-                if not after or (after[0] in "\n\r" and (not self.wrapped or not after.strip())):
-                    self.last[word] += 1
-                elif after[:1].isspace() and after[1:].islower():
-                    self.inside[word] += 1
+            if not after or (after[0] in "\n\r" and (not self.wrapped or not after.strip())):
+                self.last[m[1]] += 1
+            elif after[:1].isspace() and after[1:].islower():
+                self.inside[m[1]] += 1
 
     def abbreviation(self, word: str, following: str = "") -> bool:
         """Whether a full stop after the word, before ``following`` with a capital, belongs to the word."""
         if self.last is None:
             self._document()
         inside, last = self.inside[word], self.last[word]
-        if inside > 1 and not last and len(word) <= 5 and word not in MAY_END:
+        if inside > 1 and not last and word not in MAY_END and not self.bare(word):
             return True
-        # A letter that stands alone or last in one place may be an initial in another.
-        if len(word) > 1 and not inside and (self.name(word) or (last and not self.name(following))):
+        # What is last in one place may be an initial or a title before a name of the document in another.
+        if not inside and ((len(word) > 1 and self.name(word)) or (last and not self.name(following))):
             return False
         if word in self.never_last:
             return True
         if word in self.often_last:
             return False
-        return word in BEFORE_NAME or (len(word) == 1 and word.isupper())
+        return word in BEFORE_NAME or word in BEFORE_NUMBER or (len(word) == 1 and word.isupper())
+
+    def bare(self, word: str) -> bool:
+        """Whether the document has the word without a full stop."""
+        return regex.search(rf"(?<![\p{{L}}\p{{M}}.\-]){regex.escape(word)}(?![\p{{L}}\p{{M}}.])", self.text) is not None
 
     def name(self, word: str) -> bool:
         """Whether the document has the word as a proper name where no sentence begins."""
-        if self.last is None:
-            self._document()
+        if self.names is None:
+            self.names = frozenset(_NAME.findall(self.text))
         return word in self.names
 
 
@@ -171,7 +176,7 @@ def _ends(text: str, m: regex.Match, start: int, end: int, words: Words) -> bool
         return not (nxt and nxt[1] in DAYS_AND_MONTHS)
     if word == "г":
         return text[max(start, found.start() - 2) : found.start()].strip()[-1:].isdigit()
-    if word in ("No", "no", "Nr"):
+    if word in ("No", "no"):
         return True
     return not words.abbreviation(word, nxt[1] if nxt else "")
 
@@ -223,28 +228,29 @@ def word_evidence(documents: DataFrame) -> DataFrame:
     paragraph, and without one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stops, ends, bare = Counter(), Counter(), Counter()
+        words, stops, ends = Counter(), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
-            words = list(stops.keys() | bare.keys())
-            columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (stops, ends, bare))]
+            counts = ([stops[w] for w in words], [ends[w] for w in words], [n - stops[w] for w, n in words.items()])
+            columns = [pa.array(list(words), pa.string()), *(pa.array(c, pa.int64()) for c in counts)]
             return pa.record_batch(columns, names=["word", "stops", "sure_ends", "bare"])
 
         for batch in batches:
             for text, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                for start, end in _units(text, (source or "").strip().lower() in WRAPPED_SOURCES):
-                    for m in _TOKEN.finditer(text, start, end):
-                        if m[2] and (m.end() >= end or not text[m.end()].isalnum()):
-                            stops[m[1]] += 1
-                            if not text[m.end() : end].strip(" \t\xa0\"”»)"):
-                                ends[m[1]] += 1
-                        else:
-                            bare[m[1]] += 1
-            if len(bare) + len(stops) > 200_000:
+                words.update(_WORDS.findall(text))
+                wrapped = (source or "").strip().lower() in WRAPPED_SOURCES
+                if "." in text:
+                    for start, end in _units(text, wrapped):
+                        for m in _STOPPED.finditer(text, start, end):
+                            if m.end() >= end or not text[m.end()].isalnum():
+                                stops[m[1]] += 1
+                                if not text[m.end() : end].strip(" \t\xa0\"”»)"):
+                                    ends[m[1]] += 1
+            if len(words) > 200_000:
                 yield flush()
-                stops, ends, bare = Counter(), Counter(), Counter()
+                words, stops, ends = Counter(), Counter(), Counter()
         yield flush()
 
     counted = documents.select("text", "source").mapInArrow(count, "word string, stops long, sure_ends long, bare long")
@@ -252,14 +258,15 @@ def word_evidence(documents: DataFrame) -> DataFrame:
 
 
 def corpus_words(documents: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Words that a full stop often follows and that the corpus never shows last, at most ``MOST_WORDS``; and the
-    listed words that it mostly shows without one and otherwise often last."""
-    trusted = word_evidence(documents).where(F.col("stops") >= TRUSTED)
+    """Words that a full stop often follows and that the corpus never shows last; and the listed words that it mostly
+    shows without one and otherwise often last. Each has at least ``LEAST_SHARE`` of all full stops."""
+    evidence = settle_table(word_evidence(documents).where(F.col("stops") > 0), "words")
+    every = evidence.agg(F.sum("stops")).first()[0] or 0
+    trusted = evidence.where(F.col("stops") >= max(TRUSTED, LEAST_SHARE * every))
     never = (F.col("sure_ends") < END_SHARE * F.col("stops")) & (F.col("bare") * 2 < F.col("stops"))
     often = F.col("word").isin(*BEFORE_NAME) & (F.col("sure_ends") >= OFTEN_LAST_SHARE * F.col("stops")) & (F.col("bare") > F.col("stops"))
-    chosen = trusted.select("word", "stops", never.alias("never"), often.alias("often")).where("never or often")
-    rows = chosen.orderBy(F.desc("often"), F.desc("stops"), "word").limit(MOST_WORDS + len(BEFORE_NAME)).collect()
-    return frozenset([r.word for r in rows if r.never][:MOST_WORDS]), frozenset(r.word for r in rows if r.often)
+    rows = trusted.select("word", never.alias("never"), often.alias("often")).where("never or often").collect()
+    return frozenset(r.word for r in rows if r.never), frozenset(r.word for r in rows if r.often)
 
 
 def abbreviations(documents: DataFrame) -> frozenset[str]:

@@ -63,3 +63,15 @@ def test_corpus_counts_overrule_the_list(spark):
     rows = [(k, f"Jan kam heute {k} mal\nWir trafen Jan.\nMit Jan und Eva", "diary") for k in range(30)]
     never, often = S.corpus_words(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert "Jan" in often and "Jan" not in never
+
+
+def test_document_evidence_has_no_length_limit():
+    spans = lambda text, *a: [text[x:y] for x, y in S.sentences(text, *a)]
+    assert spans("We stopped at St.\nThey live on Main St. Then we left.") == ["We stopped at St.", "They live on Main St.", "Then we left."]
+    assert spans("I got a M.\nShe chose M. Then he won.") == ["I got a M.", "She chose M.", "Then he won."]
+    assert spans("Haus Nr. Eins ist da.") == ["Haus Nr. Eins ist da."]
+    assert spans("The approximat. Value is low. An approximat. value and approximat. values.") == ["The approximat. Value is low.", "An approximat. value and approximat. values."]
+    assert spans("we were there. then it rained there. and now there. Then sun, there") == ["we were there. then it rained there. and now there.", "Then sun, there"]
+    label = "Anna " * 40
+    assert spans(f"{label}: Hi. Go", "sms") == [f"{label}: Hi.", "Go"]
+    assert spans("It works. We saw this: a cat. Go", "sms") == ["It works.", "We saw this: a cat.", "Go"]
