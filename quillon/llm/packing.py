@@ -1,14 +1,16 @@
 """Filling containers of a fixed number of tokens with documents, little space unused and similar texts together.
 
-Documents are spread over shards of bounded size. Each shard builds an inverted index with BM25 weights; document
-frequencies and the mean length come from the whole corpus. The largest unused document seeds a container, the
-index returns its unused neighbours, best first, which fill the container greedily; what room is left goes to the
-largest unused documents that fit. A document is split only if it alone exceeds the capacity: into full containers
-and one remainder, which is packed like a document.
+Documents are placed in shards by their words: cells of a spherical k-means over hashed BM25 weights, fitted on a
+sample of ``SAMPLE`` documents, and cells of cells where one is too large, so that a document's neighbours stand in
+its shard. Each shard builds an inverted index with BM25 weights; document frequencies and the mean length come from
+the whole corpus. The largest unused document seeds a container, the index returns its unused neighbours, best
+first and by all words of the seed, which fill the container greedily; what room is left goes to the largest unused
+documents that fit. A document is split only if it alone exceeds the capacity: into full containers and one
+remainder, which is packed like a document.
 
 Defined results: null and empty documents have no tokens and join the first container of their shard; repeated rows
 are packed as often as they occur; ties of size go by document id; a budget with a null or non-positive capacity is
-ignored.
+ignored. The placement depends on the rows alone, not on files or partitions.
 """
 
 from __future__ import annotations
@@ -22,18 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.tokens import TOKENIZERS, token_ids
-from quillon.session import settle_table, shuffle_width
+from quillon.session import settle_table
 
-#: Hashed terms (bounds the frequency table), documents and tokens in a shard, terms of a seed that are looked up.
-TERMS, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 1 << 18, 20_000, 8_000_000, 16
+#: Hashed terms (bounds the frequency table), documents and tokens in a shard.
+TERMS, SHARD_DOCS, SHARD_TOKENS = 1 << 18, 50_000, 20_000_000
 K1, B = 1.2, 0.75
-#: Terms in more than this share of all documents tell nothing about similarity and are not looked up.
-COMMON = 0.1
+#: Cells of one level and documents for each of them at least, dimensions of the hashed weights, sampled documents that a
+#: fit takes, its rounds, and levels of cells; a cell beyond the last level that is too large is cut by a hash.
+CELLS, CELL_DOCS, DIMENSIONS, SAMPLE, ROUNDS, LEVELS = 16, 500, 512, 4096, 12, 2
 
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]{2}|[^\W\d_]{2,}")
 
@@ -43,44 +46,67 @@ def terms_of(text: str | None) -> Counter[int]:
     return Counter(zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % TERMS for w in _WORD.findall(text or ""))
 
 
+def weigh(terms: np.ndarray, counts: np.ndarray, owner: np.ndarray, lengths: np.ndarray, df: np.ndarray, docs: int, mean: float) -> np.ndarray:
+    """The BM25 weight of each (document, term) posting."""
+    known = np.maximum(df[terms], 1)
+    idf = np.log(1 + (docs - known + 0.5) / (known + 0.5))
+    return (idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[owner] / max(mean, 1e-9)))).astype(np.float32)
+
+
 class Index:
     """A shard's inverted index: per term the documents and their BM25 weights."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, df: np.ndarray, docs: int, mean: float) -> None:
-        sizes = np.fromiter(map(len, terms), np.int64, len(terms))
-        owner = np.repeat(np.arange(len(terms)), sizes)
+        self.n = len(terms)
+        sizes = np.fromiter(map(len, terms), np.int64, self.n)
+        owner = np.repeat(np.arange(self.n), sizes)
         term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
         tf = np.concatenate(counts).astype(np.float32) if terms else np.zeros(0, np.float32)
-        known = np.maximum(df[term], 1)
-        idf = np.log(1 + (docs - known + 0.5) / (known + 0.5))
-        norm = K1 * (1 - B + B * lengths[owner] / max(mean, 1e-9))
-        weight = (idf * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
-        telling = known <= max(2, COMMON * docs)
-        order = np.argsort(term[telling], kind="stable")
-        self.docs, self.weights = owner[telling][order], weight[telling][order]
-        self.terms, self.starts = np.unique(term[telling][order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(self.docs))
-        # The terms of each document by weight, for queries.
-        rank = np.lexsort((-weight[telling], owner[telling]))
-        self.query_terms, q_owner = term[telling][rank], owner[telling][rank]
-        self.query_starts = np.searchsorted(q_owner, np.arange(len(terms) + 1))
-        self.scores = np.zeros(len(terms), np.float32)
-
-    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share telling terms with ``doc``, best first."""
-        a, b = self.query_starts[doc], self.query_starts[doc + 1]
-        at = np.searchsorted(self.terms, self.query_terms[a : min(b, a + QUERY_TERMS)])
-        if not len(at):
-            return np.zeros(0, np.int64)
-        hits = np.concatenate([self.docs[self.starts[t] : self.ends[t]] for t in at])
-        gain = np.concatenate([self.weights[self.starts[t] : self.ends[t]] for t in at])
-        free = unused[hits]
-        hits, gain = hits[free], gain[free]
-        np.add.at(self.scores, hits, gain)
-        near = np.unique(hits)
-        near = near[np.lexsort((near, -self.scores[near]))]
-        self.scores[near] = 0
-        return near
+        weight = weigh(term, tf, owner, lengths, df, docs, mean)
+        order = np.argsort(term, kind="stable")
+        self.docs, self.weights = owner[order], weight[order]
+        known, starts = np.unique(term[order], return_index=True)
+        self.starts = np.append(starts, len(term))
+        # The places of each document's terms among the known ones.
+        self.slots, self.slot_starts = np.searchsorted(known, term), np.append(0, np.cumsum(sizes))
+
+    def view(self) -> "View":
+        return View(self)
+
+
+class View:
+    """The index for one packing: postings of used documents are dropped each time half of them are used."""
+
+    def __init__(self, index: Index) -> None:
+        self.index, self.docs, self.weights, self.starts = index, index.docs, index.weights, index.starts
+        self.full = max(1, index.n)
+
+    def compact(self, unused: np.ndarray) -> None:
+        left = int(unused.sum())
+        if left * 2 > self.full:
+            return
+        self.full = max(1, left)
+        keep = unused[self.docs]
+        self.starts = np.append(0, np.cumsum(keep))[self.starts]
+        self.docs, self.weights = self.docs[keep], self.weights[keep]
+
+    def scores(self, doc: int) -> np.ndarray:
+        """The BM25 score of every document for all terms of ``doc``."""
+        slots = self.index.slots[self.index.slot_starts[doc] : self.index.slot_starts[doc + 1]]
+        spans = [(a, b) for a, b in zip(self.starts[slots].tolist(), self.starts[slots + 1].tolist()) if a < b]
+        if not spans:
+            return np.zeros(self.index.n)
+        hits = np.concatenate([self.docs[a:b] for a, b in spans])
+        return np.bincount(hits, np.concatenate([self.weights[a:b] for a, b in spans]), self.index.n)
+
+
+def best_first(scores: np.ndarray, able: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` best of the able documents with a score, best first, ties by number; all that tie with the last."""
+    near = np.flatnonzero(able & (scores > 0))
+    if len(near) > most:
+        least = np.partition(scores[near], len(near) - most)[len(near) - most]
+        near = near[scores[near] >= least]
+    return near[np.lexsort((near, -scores[near]))]
 
 
 def pack(sizes: np.ndarray, capacity: int, index: Index, items: np.ndarray) -> np.ndarray:
@@ -91,12 +117,14 @@ def pack(sizes: np.ndarray, capacity: int, index: Index, items: np.ndarray) -> n
     ascending = order[::-1]
     by_size = sizes[ascending]  # for the search of the largest that fits
     skip = np.arange(-1, n)  # skip[k + 1]: the last position <= k that is unused, path-compressed
-    place = np.empty(n, np.int64)
-    place[ascending] = np.arange(n)
     unused = np.ones(n, bool)
-    of_doc = {int(d): i for i, d in enumerate(items)}
-    unused_doc = np.zeros(len(index.scores), bool)
+    item_of = np.full(index.n, -1, np.int64)
+    item_of[items] = np.arange(n)
+    size_of = np.zeros(index.n, np.int64)
+    size_of[items] = sizes
+    unused_doc = np.zeros(index.n, bool)
     unused_doc[items] = True
+    view = index.view()
 
     def last_unused(k: int) -> int:
         path = []
@@ -119,14 +147,20 @@ def pack(sizes: np.ndarray, capacity: int, index: Index, items: np.ndarray) -> n
             continue
         take(seed, number)
         room = capacity - sizes_list[seed]
-        if room > 0:
-            for d in index.neighbours(int(items[seed]), unused_doc).tolist():
-                i = of_doc[d]
-                if sizes_list[i] <= room:
-                    take(i, number)
-                    room -= sizes_list[i]
-                    if room <= 0:
-                        break
+        if room > 0 and last_unused(bisect_right(ascending_sizes, room) - 1) >= 0:
+            view.compact(unused_doc)
+            scores = view.scores(int(items[seed]))
+            most = 32
+            while room > 0:  # what does not fit now will not later
+                near = best_first(scores, unused_doc & (size_of <= room), most)
+                if not len(near):
+                    break
+                for d in near.tolist():
+                    i = int(item_of[d])
+                    if sizes_list[i] <= room:
+                        take(i, number)
+                        room -= sizes_list[i]
+                most *= 4
         while room >= 0:
             k = last_unused(bisect_right(ascending_sizes, room) - 1)
             if k < 0 or (room == 0 and sizes_list[ascending[k]] > 0):
@@ -138,6 +172,96 @@ def pack(sizes: np.ndarray, capacity: int, index: Index, items: np.ndarray) -> n
     return container
 
 
+def vectors(terms: list, counts: list, df: np.ndarray, docs: int, mean: float) -> np.ndarray:
+    """Unit vectors of hashed BM25 weights, all zero for a document without words."""
+    n = len(terms)
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    sizes = np.fromiter((len(t) for t in terms), np.int64, n)
+    if not sizes.sum():
+        return out
+    owner = np.repeat(np.arange(n), sizes)
+    term = np.concatenate([np.asarray(t, np.int64) for t in terms if len(t)])
+    tf = np.concatenate([np.asarray(c, np.float32) for c in counts if len(c)])
+    weight = weigh(term, tf, owner, np.bincount(owner, tf, n), df, docs, mean)
+    out += np.bincount(owner * DIMENSIONS + term % DIMENSIONS, weight, n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float32)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def fit(x: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of a spherical k-means: each first centre is the one of several that leaves least, the draw is fixed."""
+    rng = np.random.default_rng(17)
+    cells = min(cells, len(x))
+    centres = [x[0]]
+    far = 1 - x @ x[0]
+    for _ in range(cells - 1):
+        chance = np.maximum(far, 0) ** 2
+        if not chance.sum() > 0:
+            break
+        tried = rng.choice(len(x), 8, p=chance / chance.sum())
+        best = min(tried.tolist(), key=lambda j: float(np.minimum(far, 1 - x @ x[j]).sum()))
+        centres.append(x[best])
+        far = np.minimum(far, 1 - x @ x[best])
+    c = np.array(centres)
+    for _ in range(ROUNDS):
+        at = np.argmax(x @ c.T, axis=1)
+        for j in range(len(c)):
+            if (at == j).any():
+                m = x[at == j].mean(axis=0)
+                c[j] = m / max(float(np.linalg.norm(m)), 1e-9)
+    return c
+
+
+def placed(sized: DataFrame, df: np.ndarray, docs: int, tokens: int, mean: float, shard_docs: int, shard_tokens: int) -> DataFrame:
+    """``sized`` with its ``shard``: nested cells of similar documents, of bounded size."""
+    spark = sized.sparkSession
+    frequency = spark.sparkContext.broadcast(df)  # TERMS integers, one megabyte
+    tree: dict[str, np.ndarray] = {}
+
+    def with_cell(rows: DataFrame, known: dict[str, np.ndarray]) -> DataFrame:
+        @F.arrow_udf(T.StringType())
+        def cell(terms: pa.Array, counts: pa.Array) -> pa.Array:
+            x = vectors(terms.to_pylist(), counts.to_pylist(), frequency.value, docs, mean)
+            out = np.full(len(x), "", object)
+            todo = [("", np.arange(len(x)))]
+            while todo:
+                name, at = todo.pop()
+                if name not in known or not len(at):
+                    continue
+                nearest = np.argmax(x[at] @ known[name].T, axis=1)
+                for j in range(len(known[name])):
+                    out[at[nearest == j]] = f"{name}.{j}"
+                    todo.append((f"{name}.{j}", at[nearest == j]))
+            return pa.array(out.tolist(), pa.string())
+
+        return rows.withColumn("cell", cell("terms", "counts"))
+
+    at = {"": (docs, tokens)}  # the cells of a level are CELLS ** LEVELS at most
+    rows = sized.withColumn("cell", F.lit(""))
+    for level in range(LEVELS):
+        large = {name: n for name, (n, t) in at.items() if n > shard_docs or t > shard_tokens or (level == 0 and n >= 2 * CELL_DOCS)}
+        if not large:
+            break
+        # The documents with the least hashes are the sample, whatever the partitions.
+        drawn = F.xxhash64("doc_id", "n_tokens")
+        share = F.lit(0.0)
+        for name, n in large.items():
+            share = F.when(F.col("cell") == name, F.lit(min(1.0, 1.5 * SAMPLE / n))).otherwise(share)
+        few = rows.where(F.size("terms") > 0).withColumn("drawn", drawn).where(F.col("drawn") / F.lit(2.0**64) + 0.5 < share)
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy("drawn", "doc_id"))  # about 1.5 SAMPLE rows a cell
+        sample: dict[str, list] = {}
+        for r in few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("cell", "terms", "counts").orderBy("cell", "rank").toLocalIterator():
+            sample.setdefault(r.cell, []).append((r.terms, r.counts))
+        fitted = {name: vectors([t for t, _ in s], [c for _, c in s], df, docs, mean) for name, s in sample.items()}
+        tree.update({name: fit(x, max(2, min(CELLS, large[name] // CELL_DOCS))) for name, x in fitted.items()})
+        rows = settle_table(with_cell(sized, dict(tree)), "cells")
+        at = {r.cell: (r.n, r.t) for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).collect()}
+    cuts = F.lit(1)
+    for name, (n, t) in at.items():
+        if (k := max(math.ceil(n / shard_docs), math.ceil(t / shard_tokens))) > 1:
+            cuts = F.when(F.col("cell") == name, F.lit(k)).otherwise(cuts)
+    return rows.withColumn("shard", F.concat_ws("/", "cell", F.pmod(F.xxhash64("doc_id", "n_tokens"), cuts).cast("string"))).drop("cell")
+
+
 def containers(documents: DataFrame, budgets: DataFrame, folder: str = TOKENIZERS, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(budget_name, capacity_tokens, container, doc_id, part, first_token, n_tokens) for every budget."""
     rows = budgets.where("capacity_tokens > 0").select("budget_name", "tokenizer", F.col("capacity_tokens").cast("long")).collect()  # a table of settings
@@ -151,7 +275,9 @@ def containers(documents: DataFrame, budgets: DataFrame, folder: str = TOKENIZER
     return out
 
 
-def _contained(documents: DataFrame, budgets: list[tuple[str, int]], tokenizer: str, schema: str, folder: str, shard_docs: int, shard_tokens: int) -> DataFrame:
+def _sized(documents: DataFrame, tokenizer: str, folder: str) -> tuple[DataFrame, np.ndarray, int, int, float]:
+    """(doc_id, n_tokens, terms, counts) of the documents, document frequencies, documents, tokens, mean length."""
+
     @F.arrow_udf(T.StructType([T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]))
     def term_lists(text: pa.Array) -> pa.Array:
         found = [terms_of(t) for t in text.to_pylist()]
@@ -166,10 +292,13 @@ def _contained(documents: DataFrame, budgets: list[tuple[str, int]], tokenizer:
     df = np.zeros(TERMS, np.int32)
     for t, n in frequency:
         df[t] = n
+    return sized, df, docs, tokens, mean or 0.0
+
+
+def _contained(documents: DataFrame, budgets: list[tuple[str, int]], tokenizer: str, schema: str, folder: str, shard_docs: int, shard_tokens: int) -> DataFrame:
+    sized, df, docs, tokens, mean = _sized(documents, tokenizer, folder)
     shared = documents.sparkSession.sparkContext.broadcast(df)  # TERMS integers, one megabyte
-    shards = max(1, math.ceil(docs / shard_docs), math.ceil(tokens / shard_tokens))
-    placed = sized.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, monotonically_increasing_id()), {shards}) as int)"))
-    mean = mean or 0.0
+    in_shards = placed(sized, df, docs, tokens, mean, shard_docs, shard_tokens)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -199,8 +328,28 @@ def _contained(documents: DataFrame, budgets: list[tuple[str, int]], tokenizer:
             names = ["budget_name", "capacity_tokens", "container", "doc_id", "part", "first_token", "n_tokens"]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    width = max(shuffle_width(documents.sparkSession), min(shards, 20_000))
-    return placed.repartition(width, "shard").groupBy("shard").applyInArrow(fill, schema)
+    return in_shards.groupBy("shard").applyInArrow(fill, schema)
+
+
+def neighbours(documents: DataFrame, every: int = 50, most: int = 10, folder: str = TOKENIZERS, tokenizer: str = "byte_bpe_50k", **limits: int) -> tuple[int, int]:
+    """(found, wanted): how many of the ``most`` best documents by BM25 over the whole corpus stand in the shard of
+    the documents whose id is divisible by ``every``. A measure for tests and reports: the index of the whole corpus
+    is built on the driver."""
+    sized, df, docs, tokens, mean = _sized(documents, tokenizer, folder)
+    rows = placed(sized, df, docs, tokens, mean, limits.get("shard_docs", SHARD_DOCS), limits.get("shard_tokens", SHARD_TOKENS)).orderBy("doc_id", "n_tokens").toPandas()
+    terms, counts = [np.asarray(t, np.int64) for t in rows["terms"]], [np.asarray(c, np.int64) for c in rows["counts"]]
+    view = Index(terms, counts, np.array([c.sum() for c in counts], np.float64), df, docs, mean).view()
+    shard = rows["shard"].to_numpy()
+    found = wanted = 0
+    for d in np.flatnonzero(rows["doc_id"].to_numpy() % every == 0).tolist():
+        scores = view.scores(d)
+        scores[d] = 0
+        n = min(most, int((scores > 0).sum()))
+        if n:
+            least = np.partition(scores, len(scores) - n)[len(scores) - n]
+            wanted += n
+            found += min(n, int((scores[shard == shard[d]] >= least - 1e-9).sum()))
+    return found, wanted
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
