@@ -37,6 +37,8 @@ K1, B = 1.2, 0.75
 #: Cells of one level and documents for each of them at least, dimensions of the hashed weights, sampled documents that a
 #: fit takes, its rounds, and levels of cells; a cell beyond the last level that is too large is cut by a hash.
 CELLS, CELL_DOCS, DIMENSIONS, SAMPLE, ROUNDS, LEVELS = 16, 500, 512, 4096, 12, 2
+#: A term is wide if more than one in so many documents of the shard have it.
+DENSE = 16
 
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]{2}|[^\W\d_]{2,}")
 
@@ -69,6 +71,20 @@ class Index:
         self.starts = np.append(starts, len(term))
         # The places of each document's terms among the known ones.
         self.slots, self.slot_starts = np.searchsorted(known, term), np.append(0, np.cumsum(sizes))
+        # Terms of very many documents as whole rows of weights, which add up faster than lists; there are DENSE times
+        # the terms of a document at most.
+        df_here = np.diff(self.starts)
+        wide = np.flatnonzero(df_here * DENSE > self.n)
+        self.row_of = np.full(len(known), -1, np.int64)
+        self.row_of[wide] = np.arange(len(wide))
+        self.rows = np.zeros((len(wide), self.n), np.float32)
+        for row, t in enumerate(wide.tolist()):
+            self.rows[row, self.docs[self.starts[t] : self.starts[t + 1]]] = self.weights[self.starts[t] : self.starts[t + 1]]
+        lists = np.ones(len(known), bool)
+        lists[wide] = False
+        keep = np.repeat(lists, df_here)
+        self.starts = np.append(0, np.cumsum(np.where(lists, df_here, 0)))
+        self.docs, self.weights = self.docs[keep], self.weights[keep]
 
     def view(self) -> "View":
         return View(self)
@@ -93,11 +109,14 @@ class View:
     def scores(self, doc: int) -> np.ndarray:
         """The BM25 score of every document for all terms of ``doc``."""
         slots = self.index.slots[self.index.slot_starts[doc] : self.index.slot_starts[doc + 1]]
-        spans = [(a, b) for a, b in zip(self.starts[slots].tolist(), self.starts[slots + 1].tolist()) if a < b]
-        if not spans:
-            return np.zeros(self.index.n)
-        hits = np.concatenate([self.docs[a:b] for a, b in spans])
-        return np.bincount(hits, np.concatenate([self.weights[a:b] for a, b in spans]), self.index.n)
+        rows = self.index.row_of[slots]
+        out = np.zeros(self.index.n, np.float32)
+        for row in rows[rows >= 0].tolist():
+            out += self.index.rows[row]
+        for a, b in zip(self.starts[slots].tolist(), self.starts[slots + 1].tolist()):
+            if a < b:
+                out[self.docs[a:b]] += self.weights[a:b]  # a term has a document once
+        return out
 
 
 def best_first(scores: np.ndarray, able: np.ndarray, most: int) -> np.ndarray:

@@ -50,3 +50,40 @@ def test_neighbours_come_together(spark):
 
 def test_empty(spark):
     assert run(spark, [], [64]).count() == 0 and run(spark, ["a"], []).count() == 0
+
+
+def test_scores_are_bm25(spark):
+    """Lists and wide rows give the same scores as the formula, before and after used documents leave the lists."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.choice(60, rng.integers(0, 12)) ** 2 % 97) for _ in range(80)]
+    counts = [rng.integers(1, 4, len(t)) for t in terms]
+    lengths = np.array([c.sum() for c in counts], float)
+    df = np.zeros(P.TERMS, np.int32)
+    for t in terms:
+        df[t] += 1
+    view = P.Index(terms, counts, lengths, df, 80, lengths.mean()).view()
+
+    def formula(a, b):
+        tf = dict(zip(terms[b].tolist(), counts[b].tolist()))
+        idf = {t: np.log(1 + (80 - df[t] + 0.5) / (df[t] + 0.5)) for t in tf}
+        return sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * lengths[b] / lengths.mean())) for t in terms[a].tolist() if t in tf)
+
+    unused = np.ones(80, bool)
+    for used in (0, 50, 70):
+        unused[:used] = False
+        view.compact(unused)
+        for a in (0, 7, 79):
+            assert np.allclose(view.scores(a)[unused], [formula(a, b) for b in np.flatnonzero(unused)], atol=1e-4)
+
+
+def test_neighbours_stand_in_one_shard(spark):
+    topics = ["garden flowers roses soil spade", "train station platform ticket delay", "violin concert orchestra melody bow", "carrot potato onion soup broth"]
+    rows = [(k, " ".join(topics[k % 4].split()[j] for j in ((k // 4) % 5, (k // 20) % 5, (k // 100) % 5)), "q") for k in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, part string")
+    found, wanted = P.neighbours(d, shard_docs=1500)
+    assert wanted > 0 and found / wanted >= 0.9
+    one = {(r.container, r.doc_id) for r in P.containers(d, spark.createDataFrame([("b", "byte_bpe_50k", 64)], "budget_name string, tokenizer string, capacity_tokens long"), shard_docs=1500).collect()}
+    again = {(r.container, r.doc_id) for r in P.containers(d.repartition(7), spark.createDataFrame([("b", "byte_bpe_50k", 64)], "budget_name string, tokenizer string, capacity_tokens long"), shard_docs=1500).collect()}
+    assert one == again
