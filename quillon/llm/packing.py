@@ -36,7 +36,9 @@ TERMS, SHARD_DOCS, SHARD_TOKENS = 1 << 18, 50_000, 20_000_000
 K1, B = 1.2, 0.75
 #: Cells of one level and documents for each of them at least, dimensions of the hashed weights, sampled documents that a
 #: fit takes, its rounds, and levels of cells; a cell beyond the last level that is too large is cut by a hash.
-CELLS, CELL_DOCS, DIMENSIONS, SAMPLE, ROUNDS, LEVELS = 16, 500, 512, 4096, 12, 2
+CELLS, CELL_DOCS, DIMENSIONS, SAMPLE, ROUNDS, LEVELS = 8, 500, 512, 4096, 12, 2
+#: Starts of a fit.
+STARTS = 4
 #: A term is wide if more than one in so many documents of the shard have it.
 DENSE = 16
 
@@ -207,16 +209,19 @@ def vectors(terms: list, counts: list, df: np.ndarray, docs: int, mean: float) -
 
 
 def fit(x: np.ndarray, cells: int) -> np.ndarray:
-    """Centres of a spherical k-means: each first centre is the one of several that leaves least, the draw is fixed."""
-    rng = np.random.default_rng(17)
-    cells = min(cells, len(x))
-    centres = [x[0]]
-    far = 1 - x @ x[0]
+    """Centres of a spherical k-means, the best of several starts; the draws are fixed."""
+    tries = [_fit(x, min(cells, len(x)), np.random.default_rng(start)) for start in range(STARTS)]
+    return max(tries, key=lambda c: float(np.max(x @ c.T, axis=1).sum()))
+
+
+def _fit(x: np.ndarray, cells: int, rng: np.random.Generator) -> np.ndarray:
+    centres = [x[int(rng.integers(len(x)))]]
+    far = 1 - x @ centres[0]
     for _ in range(cells - 1):
         chance = np.maximum(far, 0) ** 2
         if not chance.sum() > 0:
             break
-        tried = rng.choice(len(x), 8, p=chance / chance.sum())
+        tried = rng.choice(len(x), 8, p=chance / chance.sum())  # the one that leaves least becomes a centre
         best = min(tried.tolist(), key=lambda j: float(np.minimum(far, 1 - x @ x[j]).sum()))
         centres.append(x[best])
         far = np.minimum(far, 1 - x @ x[best])
