@@ -19,12 +19,32 @@ APPLE_EPOCH, NANOSECONDS_FROM = 978_307_200, 10**12
 
 
 def utf8_read_as_latin1(c: Column) -> Column:
-    """UTF-8 bytes that were read as Latin-1, put right; every other text as it is."""
+    """UTF-8 bytes that were read as Latin-1, put right. Where the whole is no such text, those runs of it that are
+    are put right; every other text as it is."""
     raw = F.encode(c, "ISO-8859-1")
-    return F.when(c.rlike(r"^[\x00-\x{FF}]*$") & F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")).otherwise(c)
+    whole = c.rlike(r"^[\x00-\x{FF}]*$") & F.is_valid_utf8(raw.cast("string"))
+    runs = c.rlike(_LATIN1_RUN.pattern)
+    return F.when(whole, F.decode(raw, "UTF-8")).when(runs, _runs_put_right(c)).otherwise(c)
 
 
-_EMOJI = regex.compile(r"[\U0001F000-\U0001FAFF☀-➿⬀-⯿︎️‍\U0001F1E6-\U0001F1FF]")
+#: UTF-8 sequences of two to four bytes as Latin-1 shows them.
+_LATIN1_RUN = regex.compile(r"[\u00c2-\u00df][\u0080-\u00bf]|[\u00e0-\u00ef][\u0080-\u00bf]{2}|[\u00f0-\u00f4][\u0080-\u00bf]{3}")
+
+
+def _run(m: regex.Match) -> str:
+    try:
+        return m[0].encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return m[0]
+
+
+@F.arrow_udf(T.StringType())
+def _runs_put_right(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _LATIN1_RUN.sub(_run, t) for t in text.to_pylist()], pa.string())
+
+
+# The characters that names are compared without.
+_EMOJI = regex.compile("[\U0001f300-\U0001faff\u2600-\u27bf\U0001f1e6-\U0001f1ff\u2b00-\u2bff\ufe0f\u200d]")
 
 
 @F.arrow_udf(T.StringType())
@@ -179,14 +199,38 @@ def _stream_text(blob: bytes) -> str | None:
     return text or None
 
 
+# The bytes before and after the text of an archived string.
+_TEXT_BEGINS, _TEXT_ENDS = b"\x01+", b"\x86\x84"
+
+
+def _scanned_text(blob: bytes) -> str | None:
+    """What stands between the marks of an archived string, less its length: one character, or three where the bytes
+    are no sound UTF-8."""
+    at = blob.find(_TEXT_BEGINS)
+    end = blob.find(_TEXT_ENDS, at + 3, len(blob) - 1) if at >= 0 else -1
+    if end < 0:
+        return None
+    part = blob[at + 2 : end]
+    try:
+        return part.decode("utf-8")[1:] or None
+    except UnicodeDecodeError:
+        return part.decode("utf-8", "replace")[3:] or None
+
+
 @F.arrow_udf(T.StringType())
 def attributed_text(blob: pa.Array) -> pa.Array:
     return pa.array([_stream_text(b) if b else None for b in blob.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def scanned_text(blob: pa.Array) -> pa.Array:
+    return pa.array([_scanned_text(b) if b else None for b in blob.to_pylist()], pa.string())
+
+
 def message_text(blob: Column, text: Column) -> Column:
-    """The text of a message row: the plain column, else what the archived string holds."""
-    return F.coalesce(F.nullif(text, F.lit("")), attributed_text(blob))
+    """The text of a message row: the archived string where it can be read, else the plain column, else what stands
+    between the archive's marks. An empty text counts as none."""
+    return F.coalesce(attributed_text(blob), F.nullif(text, F.lit("")), scanned_text(blob))
 
 
 def _exif(data: bytes | None) -> dict | None:

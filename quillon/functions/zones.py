@@ -1,13 +1,15 @@
 """Versioned zone transition tables: UTC transition instants and offsets of a zone as sorted arrays.
 
-A table is built once, on the driver, from the installed IANA data, and travels to the executors with its
-version, so every executor converts by the same rules. There are about 600 zones in the IANA data, which bounds
-the size (about 2 MB).
+The tables of the zones that a query names are built once, on the driver, from the installed IANA data, and travel to
+the executors with a version, so every executor converts by the same rules whatever zone data it has. There are about
+600 zones in the IANA data, which bounds the size (about 2 MB). The version is that of the IANA data with a digest of
+the tables, so that equal versions mean equal rules even where the installed data does not say its version.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import zoneinfo
 from dataclasses import dataclass
@@ -48,6 +50,7 @@ class ZoneTable:
 
 
 def data_version() -> str:
+    """What the installed IANA data calls itself."""
     try:
         import tzdata
 
@@ -97,14 +100,29 @@ def _build(zone: zoneinfo.ZoneInfo) -> ZoneTable:
 
 
 @functools.lru_cache(maxsize=1024)
-def zone_table(name: str, version: str) -> ZoneTable | None:
-    """The table of an IANA zone or fixed offset under the given data version; None for an unknown name."""
+def zone_table(name: str, version: str | None = None) -> ZoneTable | None:
+    """The table of an IANA zone by the installed data, of the version given if any, or of a fixed offset; None for an
+    unknown name."""
     fixed = fixed_offset(name)
     if fixed is not None:
         return ZoneTable(np.array([-(2**62)], np.int64), np.array([fixed], np.int64), ("",))
-    if version != data_version():
+    if version is not None and version != data_version():
         raise RuntimeError(f"zone data {version} was asked for, {data_version()} is installed")
     try:
         return _build(zoneinfo.ZoneInfo(name.strip()))
     except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
         return None
+
+
+class ZoneTables:
+    """The tables of some zones with their version; fixed offsets need none."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.tables = {n: t for n in sorted(set(names)) if (t := zone_table(n)) is not None}
+        digest = hashlib.sha256()
+        for n, t in self.tables.items():
+            digest.update(f"{n} {t.names}".encode() + t.starts.tobytes() + t.offsets.tobytes())
+        self.version = f"{data_version()}-{digest.hexdigest()[:16]}"
+
+    def get(self, name: str) -> ZoneTable | None:
+        return self.tables.get(name.strip()) or (zone_table(name) if fixed_offset(name) is not None else None)

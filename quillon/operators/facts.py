@@ -120,7 +120,7 @@ def list_people(entities: DataFrame, facts: DataFrame, instant: datetime | Colum
 
 
 def pending_proposals(proposals: DataFrame, entities: DataFrame) -> DataFrame:
-    waiting = proposals.where("status = 'pending'").select("id", "mention", "entity_id", "score", "created_at")
+    waiting = proposals.where("status = 'pending'").select("id", "mention", "entity_id", "evidence", "score", "status", "created_at")
     names = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"))
     return waiting.join(names, "entity_id").orderBy("created_at", "id")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import settle_table
+from quillon.session import release, settle_table
 
 MOST_ROUNDS = 64
 
@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     both = settle_table(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.col("vertex")).alias("component"))
-    labels = settle_table(labels, "labels")
+    table = labels = settle_table(labels, "labels")
     for _ in range(MOST_ROUNDS):
         near = both.join(labels.select(F.col("vertex").alias("b"), "component"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("component").alias("near"))
         spread = labels.join(near, "vertex").select("vertex", F.least("component", "near").alias("component"), F.col("component").alias("old"))
@@ -28,7 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = spread.join(jump, "component").select("vertex", F.least("component", "next").alias("component"), "old")
         new = settle_table(new, "labels")
         changed = new.where("component <> old").limit(1).count()
-        labels = new.drop("old")
+        release(table)
+        table, labels = new, new.drop("old")
         if not changed:
+            release(both)
             return labels
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

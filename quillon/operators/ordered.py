@@ -55,6 +55,14 @@ def with_running_sum(parts: DataFrame, group: list[str], order: list[str], value
     return summed.withColumn(to, F.col(to) + F.col("__carried")).drop("__value", "__carried")
 
 
+def with_rank(rows: DataFrame, group: list[str], order: list[str], to: str) -> DataFrame:
+    """Adds the row's place in its group from 1, in ascending order, nulls first. A group too large for one task is
+    spread over several."""
+    if largest_group(rows, group) <= GROUP_ROWS:
+        return rows.withColumn(to, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+    return with_running_sum(in_parts(rows, group, order), group, order, F.lit(1), to).drop("__part").withColumn(to, F.col(to).cast("long"))
+
+
 def with_number(rows: DataFrame, order: list[str], to: str, part_rows: int | None = None) -> DataFrame:
     """Adds consecutive numbers from 1 in the given order, without sorting all rows in one task."""
     parts = in_parts(rows, [], order, part_rows)

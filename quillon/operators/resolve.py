@@ -129,8 +129,9 @@ def resolve(store: Store, mentions: DataFrame, embedder: BagEmbedder, judge: Cal
         rows = spark.createDataFrame([(k, n, "person", embedder.embed_docs([n])[0]) for k, n in enumerate(done.created)], "seq long, name string, kind string, embedding array<float>")
         ids = {f"new:{r['name']}": r["id"] for r in store.upsert_entities(rows, now).collect()}
     if done.proposals:
-        fixed = [(m, ids.get(e, e), s) for m, e, s in done.proposals]
-        store.add_proposals(spark.createDataFrame(fixed, "mention string, entity_id string, score double"), now)
+        # Only candidates that the judge takes for the same are queued.
+        fixed = [(m, ids.get(e, e), f"verdict: same=True confidence={s:.2f}", s) for m, e, s in done.proposals]
+        store.add_proposals(spark.createDataFrame(fixed, "mention string, entity_id string, evidence string, score double"), now)
     pairs = [(m, ids.get(e, e)) for m, e in done.resolved.items()]
     return spark.createDataFrame(pairs, "mention string, entity_id string")
 

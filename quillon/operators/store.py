@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from quillon import schemas
 from quillon.identity import entity_id, statement_hash, uuid_of
+from quillon.models.offline import BagEmbedder
 from quillon.operators.windows import first_by_min
 
 # What may change in a stored fact.
@@ -168,9 +169,11 @@ class Store:
         both = F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("__more", F.array().cast("array<string>"))))
         self.tables["entities"].replace(old.join(more, "id", "left").withColumn("aliases", both).select(*old.columns))
 
-    def label_face_cluster(self, cluster: int, name: str, now: datetime) -> str:
-        """A person of this name with the cluster as an alias; returns the id."""
-        row = self.spark.createDataFrame([(0, name, "person")], "seq long, name string, kind string")
+    def label_face_cluster(self, cluster: int, name: str, now: datetime, embedder: BagEmbedder | None = None) -> str:
+        """A person of this name with the cluster as an alias; returns the id. The name gets a vector, without which
+        no mention would find it."""
+        vector = (embedder or BagEmbedder()).embed_docs([name])[0]
+        row = self.spark.createDataFrame([(0, name, "person", vector)], "seq long, name string, kind string, embedding array<float>")
         made = self.upsert_entities(row, now).first()["id"]
         self.add_aliases(self.spark.createDataFrame([(made, f"face:{cluster}")], "entity_id string, alias string"))
         return made
@@ -186,10 +189,11 @@ class Store:
         return (rows.where(F.col("kind") == kind) if kind else rows).orderBy("name")
 
     def add_proposals(self, proposals: DataFrame, now: datetime) -> None:
-        """Queue (mention, entity_id, score) for a person to decide."""
+        """Queue (mention, entity_id, score and, where there is any, evidence) for a person to decide."""
         at = F.lit(now).cast("timestamp")
         key = uuid_of(F.concat_ws("|", "mention", "entity_id", F.lit(now.isoformat())))
-        self.tables["merge_proposals"].append(proposals.select(key.alias("id"), "mention", "entity_id", F.col("score").cast("float").alias("score"), F.lit("pending").alias("status"), at.alias("created_at")))
+        evidence = F.col("evidence") if "evidence" in proposals.columns else F.lit(None).cast("string")
+        self.tables["merge_proposals"].append(proposals.select(key.alias("id"), "mention", "entity_id", evidence.alias("evidence"), F.col("score").cast("float").alias("score"), F.lit("pending").alias("status"), at.alias("created_at")))
 
     def resolve_proposal(self, id_: str, accept: bool) -> None:
         """Set the state; entities and aliases stay as they are."""

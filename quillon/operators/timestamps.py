@@ -8,14 +8,15 @@ clocks become UTC through the zone transition tables of ``quillon.functions.zone
 Defined results: null, empty, placeholder (``0``, ``-1``, words) and impossible texts give null; a reading without
 a zone in the text takes the zone given beside it and gives null if that zone is null or unknown; an hour that
 occurs twice means its first pass, a skipped reading is taken with the offset before the change; parts the text
-leaves out are zero; digits beyond microseconds are cut. Very long texts match no mask and give null. Ties and
-repeated rows need no care, each row is read alone.
+leaves out are zero; digits beyond microseconds are cut. Texts of any length are trimmed and matched; a long one
+that is no time gives null. Ties and repeated rows need no care, each row is read alone.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import zoneinfo
 from collections.abc import Callable
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.zones import data_version, fixed_offset, zone_table
+from quillon.functions.zones import ZoneTables, fixed_offset
 
 # Month names, and offsets in minutes that zone abbreviations stand for when the zone beside the
 # text does not use the abbreviation itself.
@@ -38,7 +39,8 @@ ABBREVIATIONS = {
 #: Seconds from 1970 to 2001, from which imessage and whatsapp count.
 EPOCH_2001 = 978_307_200
 FROM_2001 = ("imessage", "whatsapp")
-LONGEST = 48
+#: Masks longer than this are matched like others but not remembered, so that the cache stays small.
+REMEMBERED_MASK = 64
 
 _TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,12}))?)?"
 _ZONE = r"(?: ?(?P<z>a{1,5}|[+-]99:?99|[+-]99))?"
@@ -59,9 +61,13 @@ _INVISIBLE = "‎‏‪‫‬⁦⁧⁨⁩﻿"
 _BLANKS = "   "
 
 
-@functools.lru_cache(maxsize=65_536)
 def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     """The column slices of the fields in every text with this mask; None if no form has it."""
+    return (_parser_of if len(mask) <= REMEMBERED_MASK else _parser_of.__wrapped__)(mask)
+
+
+@functools.lru_cache(maxsize=65_536)
+def _parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     for form in GRAMMAR:
         m = form.match(mask)
         if m:
@@ -112,7 +118,7 @@ def _plain_numbers(chars: np.ndarray, at: dict, since_2001: np.ndarray) -> tuple
     return micros + np.where(since_2001, EPOCH_2001 * 1_000_000, 0), ok
 
 
-def _calendar(chars: np.ndarray, at: dict, zones: np.ndarray, version: str) -> tuple[np.ndarray, np.ndarray]:
+def _calendar(chars: np.ndarray, at: dict, zones: np.ndarray, tables: ZoneTables) -> tuple[np.ndarray, np.ndarray]:
     n = len(chars)
     zero = np.zeros(n, np.int64)
     year = _number(chars, at["Y"])
@@ -153,7 +159,7 @@ def _calendar(chars: np.ndarray, at: dict, zones: np.ndarray, version: str) -> t
             if signed and offset is not None and (abs(offset) > 18 * 3600 or offset % 3600 // 60 > 59):
                 offset = None
             if not signed:
-                table = zone_table(zone, version) if zone else None
+                table = tables.get(zone) if zone else None
                 offset = table.offset_of_name(text.upper()) if table is not None else None
                 if offset is None and text.upper() in ABBREVIATIONS:
                     offset = ABBREVIATIONS[text.upper()] * 60
@@ -163,7 +169,7 @@ def _calendar(chars: np.ndarray, at: dict, zones: np.ndarray, version: str) -> t
                 utc[rows] = wall[rows] - offset
     else:
         for zone, rows in _by_value(zones):
-            table = zone_table(str(zone), version) if zone else None
+            table = tables.get(str(zone)) if zone else None
             if table is None:
                 ok[rows] = False
             else:
@@ -175,13 +181,14 @@ def _calendar(chars: np.ndarray, at: dict, zones: np.ndarray, version: str) -> t
     return micros, ok
 
 
-def convert(source: pa.Array, ts: pa.Array, zone: pa.Array, version: str) -> pa.Array:
-    """One batch: microseconds since 1970 UTC, null where no instant can be told."""
+def convert(source: pa.Array, ts: pa.Array, zone: pa.Array, tables: ZoneTables | str) -> pa.Array:
+    """One batch: microseconds since 1970 UTC, null where no instant can be told. Zone tables travel here; given the
+    version of the installed data instead, those of the batch's zones are built on the spot."""
+    if isinstance(tables, str):
+        tables = ZoneTables([z for z in zone.to_pylist() if z])
     n = len(ts)
     out, valid = np.zeros(n, np.int64), np.zeros(n, bool)
-    short = pc.fill_null(pc.less_equal(pc.utf8_length(ts), LONGEST), False)
-    text = pc.if_else(short, pc.fill_null(ts, ""), "")
-    text = pc.replace_substring_regex(text, f"[{_INVISIBLE}]", "")
+    text = pc.replace_substring_regex(pc.fill_null(ts, ""), f"[{_INVISIBLE}]", "")
     text = pc.utf8_trim_whitespace(pc.replace_substring_regex(text, f"[{_BLANKS}]", " "))
     mask = pc.replace_substring_regex(pc.replace_substring_regex(text, "[A-Za-z]", "a"), "[0-9]", "9")
     coded = mask.dictionary_encode() if not isinstance(mask, pa.DictionaryArray) else mask
@@ -202,18 +209,17 @@ def convert(source: pa.Array, ts: pa.Array, zone: pa.Array, version: str) -> pa.
         if "n" in at:
             micros, ok = _plain_numbers(chars, at, since_2001[rows])
         else:
-            micros, ok = _calendar(chars, at, zones[rows], version)
+            micros, ok = _calendar(chars, at, zones[rows], tables)
         out[rows], valid[rows] = micros, ok
     return pa.array(out, pa.int64(), mask=~valid)
 
 
-def instant_udf() -> Callable[..., Column]:
-    """An Arrow UDF (source, text, zone) -> microseconds, bound to the driver's zone data version."""
-    version = data_version()
+def instant_udf(tables: ZoneTables) -> Callable[..., Column]:
+    """An Arrow UDF (source, text, zone) -> microseconds, which carries the driver's zone tables."""
 
     @F.arrow_udf("long")
     def instant(source: pa.Array, ts: pa.Array, zone: pa.Array) -> pa.Array:
-        return convert(source, ts, zone, version)
+        return convert(source, ts, zone, tables)
 
     return instant
 
@@ -228,7 +234,9 @@ def with_instants(items: DataFrame, exports: DataFrame, to: str = "epoch_us") ->
     zone = "__zone"
     zones = exports.where(F.col("export_id").isNotNull()).groupBy(F.col("export_id").alias("__export")).agg(F.min("source_tz").alias(zone))
     joined = items.join(zones, items["export_id"] == zones["__export"], "left")
-    instant = instant_udf()(items["source"], items["ts"], zones[zone])
+    # The zones of the IANA data that occur bound the tables; other names have none.
+    named = [r[0] for r in zones.select(F.trim(zone).alias(zone)).where(F.col(zone).isin(sorted(zoneinfo.available_timezones()))).distinct().collect()]
+    instant = instant_udf(ZoneTables(named))(items["source"], items["ts"], zones[zone])
     return joined.select(*(items[c] for c in items.columns if c != to), instant.alias(to))
 
 

@@ -23,7 +23,7 @@ EXTRACTED_FACT = _struct("kind:s statement:s subjects:as place:s happened_at:s c
 FACT = _struct("id:s kind:s body:s statement:s confidence:f happened_at:s entity_ids:as provenance:as valid_at:t invalid_at:t expired_at:t created_at:t updated_at:t hash:s embedding:af")
 FACT_HISTORY = _struct("id:l fact_id:s event:s prev:s next:s at:t")
 ENTITY = _struct("id:s name:s kind:s aliases:as embedding:af created_at:t")
-MERGE_PROPOSAL = _struct("id:s mention:s entity_id:s score:f status:s created_at:t")
+MERGE_PROPOSAL = _struct("id:s mention:s entity_id:s evidence:s score:f status:s created_at:t")
 PROFILE = _struct("id:s body:s fact_count:i created_at:t")
 EXTRACTED_WINDOW = _struct("window_hash:s outcome:s created_at:t")
 MERGE_VERDICT = _struct("same:b confidence:d reason:s")

@@ -46,10 +46,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, the default one where it names none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -58,12 +58,37 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def settle_table(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by writing a compressed table into the shared folder and reading it back. The table is
-    removed when the driver's Python ends; a partition of it can be read again after an executor is lost."""
+    removed by ``release``, or else when the driver's Python ends; a partition of it can be read again after an
+    executor is lost."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that ``settle_table`` returned as ``df``, once nothing reads it any more."""
+    path = getattr(df, "_scratch", None)
+    for k, (spark, made) in enumerate(_made):
+        if made == path:
+            del _made[k]
+            _delete(spark, path)
+            return
+
+
+def shared_file_dir(spark: SparkSession, label: str) -> Path:
+    """A new folder under the shared one for files that plain Python writes and executors open; the shared folder must
+    be mounted. It is removed with the other scratch."""
+    path = scratch_path(spark, label)
+    if ":" in path.split("/", 1)[0] and not path.startswith("file:"):
+        raise ValueError(f"{path} is no mounted folder")
+    _made.append((spark, path))
+    at = Path("/" + path.split(":", 1)[-1].lstrip("/")) if path.startswith("file:") else Path(path)
+    at.mkdir(parents=True)
+    return at
 
 
 _made: list[tuple[SparkSession, str]] = []
@@ -72,14 +97,17 @@ _made: list[tuple[SparkSession, str]] = []
 def remove_scratch() -> None:
     """Delete the tables that ``settle_table`` wrote."""
     while _made:
-        spark, path = _made.pop()
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_made.pop())
         except Exception:  # the session may be gone already
             pass
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 atexit.register(remove_scratch)
 
 
@@ -102,4 +130,4 @@ def ship_package(spark: SparkSession) -> None:
     stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     stream.write(data.getvalue())
     stream.close()
-    spark.sparkContext.addPyFile(path if ":" in path.split("/", 1)[0] else "file://" + path)
+    spark.sparkContext.addPyFile(qualified(spark, path))

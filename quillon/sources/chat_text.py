@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quillon.sources.common import local_to_utc, normalized, stem
 
-# The two header forms (day first in brackets, month first before a dash) and the two attachment forms.
-BRACKET = r"^\[(\d{1,2})/(\d{1,2})/(\d{2,4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?\] (.*)$"
-DASH = r"^(\d{1,2})/(\d{1,2})/(\d{2,4}),? (\d{1,2}):(\d{2})(?:[\s\x{202F}]?([AaPp][Mm]))? - (.*)$"
-ATTACHED = r"<attached: ([^>]+)>"
-FILE_ATTACHED = r"(?:^|\s)([^\s.]+\.[A-Za-z0-9]+) \(file attached\)"
+# The two header forms (day first in brackets, month first before a dash) and the attachment that begins a
+# message, in its two forms.
+BRACKET = r"^\[(\d{1,2})/(\d{1,2})/(\d{2,4}), (\d{1,2}):(\d{2})(?::(\d{2}))?\][\s\x{A0}\x{202F}](.*)$"
+DASH = r"^(\d{1,2})/(\d{1,2})/(\d{2,4}), (\d{1,2}):(\d{2})(?::(\d{2}))?[\s\x{A0}\x{202F}]?([AaPp][Mm])? - (.*)$"
+ATTACHED = r"(?U)^[\x{200E}\x{200F}]*(?:<attached:\s*([^>]+)>|([\w\- ]+\.\w+)\s\(file attached\))"
 
 
 def _field(line: Column, pattern: str, k: int) -> Column:
@@ -26,7 +26,7 @@ def _wall(line: Column) -> Column:
 
     year = pick(3, 3).cast("int")
     hour = pick(4, 4).cast("int")
-    half = F.lower(F.when(~in_brackets, _field(line, DASH, 6)))
+    half = F.lower(F.when(~in_brackets, _field(line, DASH, 7)))
     hour = F.when(half.isNull(), hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
     return F.try_to_timestamp(
         F.format_string(
@@ -36,18 +36,23 @@ def _wall(line: Column) -> Column:
             F.lpad(F.when(in_brackets, _field(line, BRACKET, 1)).otherwise(_field(line, DASH, 2)), 2, "0"),
             hour,
             pick(5, 5),
-            F.coalesce(F.when(in_brackets, _field(line, BRACKET, 6)), F.lit("00")),
+            F.coalesce(pick(6, 6), F.lit("00")),
         )
     )
 
 
 def _messages(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", "^[‎‏]+", "")).where("line <> ''")
+    """The lines of the exports with the number of their line and their message within the file. A file is read in
+    splits; lines and headers are counted within each and carried over from the splits before, of which a file has few."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "^[\u200e\u200f]+", "").alias("line"))
     lines = lines.withColumn("header", F.col("line").rlike(BRACKET) | F.col("line").rlike(DASH))
-    # A message begins with its header; a file is one export of one chat.
-    return lines.withColumn("message", F.sum(F.col("header").cast("int")).over(Window.partitionBy("file").orderBy("line_no")))
+    sums = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.count_if("header").alias("headers"))
+    along = Window.partitionBy("file").orderBy("split")  # one row per split
+    before = sums.select("file", "split", (F.sum("n").over(along) - F.col("n")).alias("lines_before"), (F.sum("headers").over(along) - F.col("headers")).alias("headers_before"))
+    within = Window.partitionBy("file", "split").orderBy("place")
+    local = lines.withColumn("line_no", F.row_number().over(within) - 1).withColumn("message", F.sum(F.col("header").cast("int")).over(within)).where("line <> ''")
+    carried = local.join(before, ["file", "split"])
+    return carried.select("file", (F.col("line_no") + F.col("lines_before")).cast("int").alias("line_no"), "line", (F.col("message") + F.col("headers_before")).alias("message"))
 
 
 def read_chat_text(spark: SparkSession, path: str, source_tz: str, thread: str | None = None) -> DataFrame:
@@ -56,14 +61,13 @@ def read_chat_text(spark: SparkSession, path: str, source_tz: str, thread: str |
     lines = _messages(spark, path).where("message > 0")
     made = lines.groupBy("file", "message").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     made = made.withColumn("first", F.col("x")[0]["line"]).withColumn("rest", F.transform(F.slice("x", 2, 1_000_000_000), lambda l: l["line"]))
-    head = F.coalesce(_field(F.col("first"), BRACKET, 7), _field(F.col("first"), DASH, 7), F.lit(""))
+    head = F.coalesce(_field(F.col("first"), BRACKET, 7), _field(F.col("first"), DASH, 8), F.lit(""))
     body = F.concat_ws("\n", F.array(head), F.col("rest"))
     cut = F.instr(body, ": ")
     made = made.withColumn("sender", F.when(cut > 0, F.substr(body, F.lit(1), cut - 1))).withColumn("full", F.when(cut > 0, F.substr(body, cut + 2)).otherwise(body))
-    made = made.withColumn("full", F.regexp_replace("full", "[‎‏]", ""))
-    media = F.coalesce(F.nullif(F.trim(F.regexp_extract("full", ATTACHED, 1)), F.lit("")), F.nullif(F.regexp_extract("full", FILE_ATTACHED, 1), F.lit("")))
-    made = made.withColumn("media_path", F.when(F.col("sender").isNotNull(), media))
-    left = F.trim(F.regexp_replace(F.regexp_replace("full", ATTACHED, ""), FILE_ATTACHED, ""))
+    found = F.coalesce(_field(F.col("full"), ATTACHED, 1), _field(F.col("full"), ATTACHED, 2))
+    made = made.withColumn("media_path", F.when(F.col("sender").isNotNull(), found))
+    left = F.regexp_replace(F.regexp_replace("full", ATTACHED, ""), r"^\s+|\s+$", "")
     made = made.withColumn("text", F.when(F.col("media_path").isNotNull(), F.nullif(left, F.lit(""))).otherwise(F.col("full")))
     name = F.lit(thread) if thread else stem(F.col("file"))
     return normalized(

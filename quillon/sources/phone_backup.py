@@ -7,25 +7,28 @@ several tasks; the joins between tables are DataFrame joins.
 from __future__ import annotations
 
 import hashlib
+import os
 import plistlib
 import sqlite3
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from quillon.functions.scalars import apple_timestamp, message_text, whatsapp_timestamp
 from quillon.identity import py_or
+from quillon.operators.ordered import with_number
+from quillon.session import shared_file_dir
 from quillon.sources.common import normalized
 
 # Where the stores lie in a backup, and the message type codes that matter.
 MESSAGES = ("HomeDomain", "Library/SMS/sms.db")
 CHAT_STORES = (("personal", "AppDomainGroup-group.net.whatsapp.WhatsApp.shared", "ChatStorage.sqlite"), ("business", "AppDomainGroup-group.net.whatsapp.WhatsAppSMB.shared", "ChatStorage.sqlite"))
 SYSTEM_TYPE, DELETED_TYPE = 6, 14
+BACKUP_ROOTS = (r"%USERPROFILE%\Apple\MobileSync\Backup", r"%APPDATA%\Apple Computer\MobileSync\Backup")
 #: A message store with fewer rows deserves a warning.
 FEW_ROWS = 10
 #: Row ids in one input partition.
@@ -44,10 +47,16 @@ def is_backup(folder: str | Path) -> bool:
     return (Path(folder) / "Manifest.plist").is_file() and (Path(folder) / "Manifest.db").is_file()
 
 
-def discover_backups(roots: list[str | Path]) -> list[dict]:
+def find_backup_roots() -> list[Path]:
+    """The two folders that the desktop programs write backups to, whether or not they exist."""
+    return [Path(os.path.expandvars(p)) for p in BACKUP_ROOTS]
+
+
+def discover_backups(roots: list[str | Path] | None = None) -> list[dict]:
     """All backups in or directly below the roots, with what they say about themselves; a BackupError that names
     the roots if there is none."""
     found = []
+    roots = find_backup_roots() if roots is None else roots
     for root in map(Path, roots):
         for folder in [root, *(sorted(p for p in root.iterdir() if p.is_dir()) if root.is_dir() else [])]:
             if is_backup(folder):
@@ -141,9 +150,10 @@ def _has(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
-def _staged(path: Path) -> Path:
-    """A private copy with its write-ahead log folded in, so that readers need no lock."""
-    copy = Path(tempfile.mkdtemp(prefix="quillon-db-")) / path.name
+def _staged(spark: SparkSession, path: Path) -> Path:
+    """A private copy with its write-ahead log folded in, so that readers need no lock. It lies in the shared folder,
+    which executors read, and goes with the session's other scratch."""
+    copy = shared_file_dir(spark, "sqlite") / path.name
     for extra in ("", "-wal", "-shm"):
         if Path(str(path) + extra).is_file():
             Path(str(copy) + extra).write_bytes(Path(str(path) + extra).read_bytes())
@@ -153,16 +163,22 @@ def _staged(path: Path) -> Path:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("seq", F.row_number().over(Window.orderBy(F.asc_nulls_last("ts"), "source_group", "rowid")).cast("long"))
+    numbered = with_number(rows.withColumn("no_ts", F.col("ts").isNull()), ["no_ts", "ts", "source_group", "rowid"], "seq")
+    return numbered.drop("no_ts").withColumn("seq", F.col("seq").cast("long"))
 
 
-def read_messages(spark: SparkSession, backup: str | Path) -> DataFrame:
+def read_messages(spark: SparkSession, backup: str | Path, warnings: list[str] | None = None) -> DataFrame:
     """Items of the phone's message store. The bridge between chats and participants is not joined: it would repeat
-    a group's messages per participant."""
+    a group's messages per participant. ``warnings`` is told if the store has very few messages."""
     store = stored_file(backup, *MESSAGES)
     if store is None:
         raise BackupError(f"{backup} holds no message store")
-    db = _staged(store)
+    db = _staged(spark, store)
+    if warnings is not None:
+        with sqlite3.connect(f"file:{db}?mode=ro&immutable=1", uri=True) as opened:
+            n = opened.execute("SELECT count(*) FROM (SELECT 1 FROM message LIMIT ?)", (FEW_ROWS,)).fetchone()[0]
+        if n < FEW_ROWS:
+            warnings.append(f"{store}: only {n} messages; they may be kept in the cloud and not in the backup")
     m, link, chat, handle = (sqlite_table(spark, db, t) for t in ("message", "chat_message_join", "chat", "handle"))
     m = m.select(
         F.col("ROWID").alias("rowid"), _has(m, "guid").alias("guid"), _has(m, "text").alias("plain"), _has(m, "attributedBody", "binary").alias("blob"), _has(m, "handle_id", "long").alias("handle_id"),
@@ -194,7 +210,7 @@ def read_chat_store(spark: SparkSession, backup: str | Path) -> DataFrame | None
     for variant, domain, path in CHAT_STORES:
         store = stored_file(backup, domain, path)
         if store is not None:
-            parts.append(_chat_rows(spark, _staged(store), variant))
+            parts.append(_chat_rows(spark, _staged(spark, store), variant))
     if not parts:
         return None
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.ordered import with_rank
 from quillon.sources.common import normalized, stem
 
 _SMS = "_address string, _date string, _type string, _body string, _contact_name string"
@@ -56,10 +57,10 @@ def read_sms_xml(spark: SparkSession, path: str, group_by: str = "file") -> Data
     tags are read apart, so order within a file is by time, then place. ``group_by`` 'file' keeps all contacts of a
     file in one group, 'thread' makes one of each contact."""
     rows = _sms(spark, path).unionByName(_mms(spark, path))
-    w = Window.partitionBy("file").orderBy(F.asc_nulls_last("ts"), "source", "place")
+    rows = with_rank(rows.withColumn("no_ts", F.col("ts").isNull()), ["file"], ["no_ts", "ts", "source", "place"], "seq")
     meta = F.to_json(F.struct("thread", "direction", "address", "mms_media"))
     group = F.concat(F.lit("sms:"), stem(F.col("file")) if group_by == "file" else F.coalesce("thread", F.lit("")))
-    made = rows.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("meta", meta).withColumn("source_group", group).withColumn("is_system", F.lit(False))
+    made = rows.withColumn("meta", meta).withColumn("source_group", group).withColumn("is_system", F.lit(False))
     return normalized(made)
 
 

@@ -211,3 +211,30 @@ def test_dispatch(spark, tmp_path):
     with pytest.raises(ValueError):
         read(spark, tmp_path / "odd.bin", "UTC")
     assert datetime.now(timezone.utc)
+
+
+def test_chat_text_seconds_blanks_and_anchors(spark, tmp_path):
+    lines = [
+        "1/15/25, 10:32:07 AM - Ann: one", "1/15/25, 22:33:08 - Bo: two", "1/15/25, 10:34 PM - Bo: my beach photo.jpg (file attached)", "1/15/25, 10:35 PM - Bo: look <attached: x.jpg> there",
+        "1/15/25, 10:36 PM - Bo: see photo.v2.jpg (file attached)", "1/2/25 10:30 - no header", "[15/01/25, 22:41:03] Cy: ‎<attached: a b.jpg> with words",
+    ]
+    (tmp_path / "c.txt").write_text("\r\n".join(lines) + "\r\n")
+    r = rows(read_chat_text(spark, str(tmp_path / "c.txt"), "UTC"))
+    assert [(x.sender, x.text, x.media_path) for x in r] == [
+        ("Ann", "one", None), ("Bo", "two", None), ("Bo", None, "my beach photo.jpg"), ("Bo", "look <attached: x.jpg> there", None),
+        ("Bo", "see photo.v2.jpg (file attached)\n1/2/25 10:30 - no header", None), ("Cy", "with words", "a b.jpg"),
+    ]
+    assert [x.ts for x in r[:3]] == [utc(2025, 1, 15, 10, 32, 7), utc(2025, 1, 15, 22, 33, 8), utc(2025, 1, 15, 22, 34)]
+
+
+def test_chat_text_over_splits(spark, tmp_path):
+    """Messages and their lines keep their numbers where a file is read in several splits."""
+    text = "".join(f"1/15/25, 10:32 AM - P{k}: message {k}\nmore of {k}\n\n" for k in range(500))
+    (tmp_path / "c.txt").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        r = rows(read_chat_text(spark, str(tmp_path / "c.txt"), "UTC"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(x.seq, x.sender, x.text, json.loads(x.meta)["line"]) for x in r] == [(k + 1, f"P{k}", f"message {k}\nmore of {k}", 3 * k) for k in range(500)]

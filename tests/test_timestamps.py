@@ -68,3 +68,17 @@ def test_found_on_tables(spark):
     assert got == {"a": 1609533345050000, "b": at(2024, 2, 3, 22, 15, 10)}
     assert found(spark.createDataFrame([], items), spark.createDataFrame([], exports)).count() == 0
     assert with_instants(spark.createDataFrame(rows, items), e).count() == len(rows)
+
+
+def test_long_texts_are_read():
+    assert us("photo", "September 10, 2020, 10:10:10.123456789012 am +00:00") == at(2020, 9, 10, 10, 10, 10) + 123456
+    assert us("sms", " " * 60 + "2021-01-16T00:10:44Z" + "‎" * 60) == at(2021, 1, 16, 0, 10, 44)
+
+
+def test_tables_travel():
+    from quillon.functions import zones
+
+    tables = zones.ZoneTables(["Europe/Berlin", "No/Where", "+02:00"])
+    assert set(tables.tables) == {"Europe/Berlin", "+02:00"} and tables.get("No/Where") is None and tables.get("-03:30") is not None
+    assert tables.get("Asia/Tokyo") is None  # not among those that were asked for, whatever is installed here
+    assert tables.version == zones.ZoneTables(["+02:00", "Europe/Berlin"]).version != zones.ZoneTables(["Asia/Tokyo"]).version
