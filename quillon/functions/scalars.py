@@ -94,7 +94,7 @@ def extract_section(markdown: Column, name: Column) -> Column:
 def apple_timestamp(raw: Column) -> Column:
     """Seconds or, from 1e12 on, nanoseconds since 2001 as a timestamp; 0 and null are missing."""
     raw = raw.cast("long")
-    micros = F.when(raw >= NANOSECONDS_FROM, F.call_function("div", raw, F.lit(1000))).otherwise(raw * 1_000_000)
+    micros = F.when(raw >= NANOSECONDS_FROM, F.call_function("div", raw, F.lit(1000))).otherwise(F.try_multiply(raw, F.lit(1_000_000)))
     return F.when(raw != 0, F.timestamp_micros((micros + APPLE_EPOCH * 1_000_000).cast("long")))
 
 

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+import json
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Similarity from which an extracted statement may stand for a gold one.
 FLOOR = 0.6
 
 
+def load_rows(path: str) -> list[dict]:
+    """The entries of a YAML or JSON list; a mapping is searched for its one list."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML files need the yaml package; write the list as JSON") from e
+        rows = yaml.safe_load(text)
+    else:
+        rows = json.loads(text)
+    if isinstance(rows, dict):
+        rows = next((v for v in rows.values() if isinstance(v, list)), [])
+    return rows or []
+
+
+def load_gold(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, kind, statement, subjects, must_match): gold facts, written by hand and few."""
+    rows = [(k, g["kind"], g["statement"], list(g.get("subjects") or []), [str(p) for p in g["must_match"]]) for k, g in enumerate(load_rows(path))]
+    return spark.createDataFrame(rows, "seq long, kind string, statement string, subjects array<string>, must_match array<string>")
+
+
+def load_questions(path: str) -> list[dict]:
+    """(question, reference, kinds) of the questions of an answer evaluation."""
+    return [{"question": q["question"], "reference": q.get("reference"), "kinds": list(q.get("kinds") or [])} for q in load_rows(path)]
+
+
 def _cosine(a, b) -> float:
     x, y = np.asarray(a, float), np.asarray(b, float)
     size = np.linalg.norm(x) * np.linalg.norm(y)

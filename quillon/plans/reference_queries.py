@@ -237,25 +237,6 @@ def provenance_join(spark: SparkSession, d: str) -> DataFrame:
     return fx.with_provenance(table(spark, d, "facts"), table(spark, d, "raw_items")).select("fact_id", "item_id", "source", "sender").distinct()
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, o_orderdate, c_name, n_name FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
-def messages_left_join(spark: SparkSession, d: str) -> DataFrame:
-    li, o, c, n = (table(spark, d, x) for x in ("lineitem", "orders", "customer", "nation"))
-    joined = li.join(o, li.l_orderkey == o.o_orderkey, "left").join(c, o.o_custkey == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left")
-    return joined.select("l_orderkey", "l_linenumber", "o_orderdate", "c_name", "n_name")
-
-
-@query("""
-SELECT l_orderkey, l_linenumber, a.n_name AS customer_nation, b.n_name AS supplier_nation FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey
-LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation a ON a.n_nationkey = c_nationkey LEFT JOIN nation b ON b.n_nationkey = s_nationkey""")
-def double_left_join(spark: SparkSession, d: str) -> DataFrame:
-    li, o, c, s, n = (table(spark, d, x) for x in ("lineitem", "orders", "customer", "supplier", "nation"))
-    a, b = n.alias("a"), n.alias("b")
-    joined = li.join(o, li.l_orderkey == o.o_orderkey, "left").join(c, o.o_custkey == c.c_custkey, "left").join(s, li.l_suppkey == s.s_suppkey, "left")
-    joined = joined.join(a, c.c_nationkey == F.col("a.n_nationkey"), "left").join(b, s.s_nationkey == F.col("b.n_nationkey"), "left")
-    return joined.select("l_orderkey", "l_linenumber", F.col("a.n_name").alias("customer_nation"), F.col("b.n_name").alias("supplier_nation"))
-
-
 def _proposals(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     state = F.element_at(F.array(F.lit("pending"), F.lit("confirmed"), F.lit("rejected")), (F.col("p_partkey") % 3 + 1).cast("int"))
