@@ -186,32 +186,6 @@ def vision_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return windows.round_robin(o, "month", "o_totalprice", "o_orderkey", 50).select("o_orderkey", "month", "round")
 
 
-@query("""
-SELECT id, happened_at FROM (SELECT * FROM facts ORDER BY created_at, id, updated_at LIMIT 5000)
-WHERE nullif(regexp_extract(happened_at, '\\d{4}-\\d{2}-\\d{2}'), '') BETWEEN '2012-01-01' AND '2018-12-31'""")
-def timeline(spark: SparkSession, d: str) -> DataFrame:
-    f = windows.first_by_min(table(spark, d, "facts"), ["id", "updated_at"], ["created_at"])
-    return fx.within_dates(f.orderBy("created_at", "id", "updated_at").limit(5000), "2012-01-01", "2018-12-31").select("id", "happened_at")
-
-
-_VECTOR_FACTS = """
-WITH f AS (SELECT row_number() OVER (ORDER BY id, updated_at) - 1 AS k, id, entity_ids, happened_at FROM facts),
-v AS (SELECT f.*, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS similarity FROM f JOIN embeddings e ON e.vec_id = f.k)"""
-
-
-@query(_VECTOR_FACTS + """
-SELECT id, similarity FROM (SELECT * FROM v ORDER BY similarity DESC, id LIMIT 100)
-WHERE nullif(regexp_extract(happened_at, '\\d{4}-\\d{2}-\\d{2}'), '') >= '2010-01-01'""")
-def search_post_filter(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "facts").select("id", "updated_at", "entity_ids", "happened_at", "invalid_at")
-    e = table(spark, d, "embeddings")
-    n = e.count()
-    # The first n facts by id get the test vectors; a global number needs no more than these rows.
-    some = f.orderBy("id", "updated_at").limit(n).withColumn("vec_id", F.row_number().over(Window.orderBy("id", "updated_at")).cast("long") - 1)
-    q = e.where("vec_id = 0").first()["embedding"]
-    return fx.search_memories(some.join(e.select("vec_id", "embedding"), "vec_id"), q, None, "2010-01-01", None, 100).select("id", "similarity")
-
-
 @query("""
 SELECT e AS entity_id, count(*) AS n FROM (SELECT unnest(entity_ids) AS e FROM facts WHERE invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-01') WHERE e IN (SELECT id FROM entities) GROUP BY e""")
 def entity_fact_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -275,13 +249,26 @@ def prefix_tier(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where(scalars.prefix_related(scalars.normalize_ascii_name(F.col("p_name")), scalars.normalize_ascii_name(other))).select("p_partkey")
 
 
-@query("SELECT doc_id, md5(text) AS repaired_md5 FROM documents WHERE text IS NOT NULL AND strlen(text) > length(text) AND NOT regexp_full_match(text, '[\\x00-\\xff]*', 's')")
+@query("SELECT doc_id, md5(text) AS repaired_md5 FROM documents WHERE text IS NOT NULL")
 def mojibake_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where(F.col("text").rlike(r"[^\x00-\x{FF}]"))
+    t = table(spark, d, "documents").where("text is not null")
     damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return t.select("doc_id", F.md5(scalars.utf8_read_as_latin1(damaged)).alias("repaired_md5"))
 
 
+_EMOJI_SQL = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}\\x{2B00}-\\x{2BFF}\\x{FE0F}\\x{200D}]"
+
+
+@query(f"""
+SELECT DISTINCT name, trim(regexp_replace(lower(nfc_normalize(regexp_replace(regexp_replace(name, '{_EMOJI_SQL}', '', 'g'), '[._-]+', ' ', 'g'))), '[\\s\\xA0]+', ' ', 'g')) AS normalized
+FROM (SELECT name FROM entities UNION ALL SELECT unnest(aliases) FROM entities) WHERE name IS NOT NULL""")
+def name_normalize_unicode(spark: SparkSession, d: str) -> DataFrame:
+    """Names with emoji, marks and separators, as people typed them."""
+    e = table(spark, d, "entities")
+    names = e.select("name").unionByName(e.select(F.explode("aliases").alias("name"))).where("name is not null").distinct()
+    return names.select("name", scalars.normalize_name(F.col("name")).alias("normalized"))
+
+
 @query("""
 WITH a AS (SELECT id, 'As noted [fact:' || id || '] and [fact:' || substr(id, 1, 8) || '].' AS answer FROM facts)
 SELECT DISTINCT id, regexp_extract_all(answer, '\\[fact:([0-9a-fA-F-]+)\\]', 1)[1] AS first_cited, len(regexp_extract_all(answer, '\\[fact:([0-9a-fA-F-]+)\\]', 1)) AS n_cited FROM a""")
@@ -299,19 +286,6 @@ def profile_sections(spark: SparkSession, d: str) -> DataFrame:
     return fx.by_section(f).select("id", "section", "section_rank")
 
 
-@query("""
-WITH g AS (SELECT doc_id, source AS kind FROM documents WHERE doc_id % 3 <> 0), x AS (SELECT doc_id, source AS kind FROM documents WHERE n_chars > 200),
-k AS (SELECT coalesce(g.kind, x.kind) AS kind, count(g.doc_id) AS gold, count(x.doc_id) AS extracted, count(CASE WHEN g.doc_id IS NOT NULL AND x.doc_id IS NOT NULL THEN 1 END) AS matched FROM g FULL JOIN x ON g.doc_id = x.doc_id AND g.kind IS NOT DISTINCT FROM x.kind GROUP BY 1)
-SELECT kind, gold, extracted, matched, CASE WHEN extracted = 0 THEN 0 ELSE round(matched / extracted, 6) END AS precision, CASE WHEN gold = 0 THEN 0 ELSE round(matched / gold, 6) END AS recall FROM k WHERE kind IS NOT NULL""")
-def extraction_eval(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where("source is not null")
-    gold = t.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("seq"), F.col("source").alias("kind"), F.array(F.concat(F.lit("^"), F.col("doc_id").cast("string"), F.lit("$"))).alias("must_match"))
-    got = t.where("n_chars > 200").select(F.col("doc_id").alias("seq"), F.col("source").alias("kind"), F.col("doc_id").cast("string").alias("statement"))
-    return greedy_scores(got, gold, key=F.col("statement"), gold_key=F.regexp_replace(F.element_at("must_match", 1), r"[\^$]", "")).select(
-        "kind", "gold", "extracted", "matched", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall")
-    )
-
-
 @query("""
 SELECT event_id, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) ELSE epoch_us(date_trunc('second', ts)) END AS us FROM events""")
 def apple_epoch(spark: SparkSession, d: str) -> DataFrame:

@@ -77,14 +77,14 @@ def chat_text_messages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sender", "text", "media_path", "is_system", F.unix_micros("ts").alias("us"))
 
 
-@query("SELECT count(*) AS messages, count(*) AS first_seq_per_message, 0 AS orphans FROM orders")
+@query("SELECT 'messages' AS what, count(*) AS n FROM orders UNION ALL SELECT 'places', count(*) FROM orders UNION ALL SELECT 'lines before a header', 0")
 def chat_text_order(spark: SparkSession, d: str) -> DataFrame:
     """Every message has its own place in its file, and no line lies before the first header."""
     path = _chat_lines(spark, d)
     rows = read_chat_text(spark, path, "UTC", "orders")
-    file_of = F.get_json_object("meta", "$.line")
-    counts = rows.agg(F.count("*").alias("messages"), F.count_distinct(F.struct("id", "seq", file_of)).alias("first_seq_per_message"))
-    return counts.crossJoin(orphan_lines(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("orphans")))  # one row each
+    place = F.struct("id", "seq", F.get_json_object("meta", "$.line"))
+    counts = [rows.agg(F.lit("messages").alias("what"), F.count("*").alias("n")), rows.agg(F.lit("places").alias("what"), F.count_distinct(place).alias("n"))]
+    return counts[0].unionByName(counts[1]).unionByName(orphan_lines(spark, path).agg(F.lit("lines before a header").alias("what"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
 def _write_xml(elements: DataFrame, path: str) -> None:
