@@ -1,9 +1,10 @@
 """Records that are equal but for formatting: one record each, with its number of copies.
 
-Every statement gets canonical bytes. These are partitioned recursively by radix: the histogram of a bucket that
-is too large is taken again at the first byte in which its members differ, until each bucket fits; small siblings
-share a bucket. Copies of one statement are counted before that, per partition, so a statement that a third of all
-rows repeat reaches its bucket as a few rows. Each bucket is then counted in a burst trie with terminal counters.
+Every statement gets canonical bytes. These are partitioned recursively by radix: a bucket that is too large is split
+at the first byte in which its keys differ, until each bucket fits; small siblings share a bucket. The plan is a
+table, never on the driver: a level reads the rows of its open buckets alone. Copies of one statement are counted
+before that, per partition, so a statement that a third of all rows repeat reaches its bucket as a few rows. Each
+bucket is then counted in a burst trie with terminal counters.
 
 Defined results: a null or blank statement, or one of punctuation only, belongs to no group; rows with a null id
 are left out; an id delivered twice with the same statement counts once. Long statements are taken whole.
@@ -11,6 +12,7 @@ are left out; an id delivered twice with the same statement counts once. Long st
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 from os.path import commonprefix
@@ -21,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.session import settle_table, shuffle_width
+from quillon.session import settle_table
 
 # The labels of statements that are made of fields.
 LABELS = ("who", "what", "where", "when", "with", "seats")
-#: Rows that fit into one bucket, and the number of buckets beyond which that limit grows.
-FITS, MOST_BUCKETS = 200_000, 20_000
+#: Rows that fit into one bucket.
+FITS = 200_000
 
 _MARK = r"[\p{P}=|~^`<>]"
 _DROP = regex.compile(rf"[\p{{Z}}\p{{C}}]+|(?<!\p{{Nd}}){_MARK}|{_MARK}(?!\p{{Nd}})")
@@ -65,78 +67,55 @@ def canonical_bytes(statement: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-class Radix:
-    """A bucket of the partition plan. ``depth`` is 0 in a leaf; else ``children`` maps the first ``depth`` bytes
-    to the buckets below."""
-
-    __slots__ = ("number", "depth", "children")
-
-    def __init__(self, number: int = 0) -> None:
-        self.number, self.depth, self.children = number, 0, {}
-
-    def leaf(self, key: bytes) -> tuple[Radix, Radix | None, bytes]:
-        """The bucket of ``key``; if its prefix is new to the plan, the bucket it is missing from and the prefix."""
-        node = self
-        while node.depth:
-            prefix = key[: node.depth]
-            below = node.children.get(prefix)
-            if below is None:
-                return node, node, prefix
-            node = below
-        return node, None, b""
+def _shared_siblings(fits: int):
+    """Gives the prefixes of one split bucket, 256 at most, their buckets: siblings in order share one as long as they
+    fit together. A bucket is named by its first prefix."""
 
+    def share(prefixes: pa.Table) -> pa.Table:
+        rows = sorted(prefixes.select(["prefix", "n", "lo", "hi"]).to_pylist(), key=lambda r: r["prefix"])
+        out, room = [], -1
+        for r in rows:
+            if r["n"] > fits:
+                out.append((r["prefix"], r["lo"] != r["hi"]))
+                room = -1
+            else:
+                if room < r["n"]:
+                    name, room = r["prefix"], fits
+                out.append((name, False))
+                room -= r["n"]
+        columns = [pa.array([prefixes["bucket"][0].as_py()] * len(rows), pa.binary()), pa.array([r["prefix"] for r in rows], pa.binary())]
+        return pa.table([*columns, pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.bool_())], names=["bucket", "prefix", "into", "open"])
 
-def _histogram(rows: DataFrame, plan: Radix, open_nodes: dict[int, Radix]) -> list:
-    """Count, least and greatest key of each new prefix below the open buckets: at most 256 rows for each."""
+    return share
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, prefixes, keys = [], [], []
-            for key in batch.column(0).to_pylist():
-                node, missing, prefix = plan.leaf(key)
-                if missing is not None:
-                    at.append(node.number)
-                    prefixes.append(prefix)
-                    keys.append(key)
-            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(keys, pa.binary())], names=["node", "prefix", "key"])
 
-    cut = rows.select("key").mapInArrow(split, "node int, prefix binary, key binary")
-    return cut.groupBy("node", "prefix").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+@F.arrow_udf(T.IntegerType())
+def _cut_at(lo: pa.Array, hi: pa.Array) -> pa.Array:
+    """The length of the shortest prefix in which two keys differ."""
+    return pa.array([len(commonprefix([a, b])) + 1 for a, b in zip(lo.to_pylist(), hi.to_pylist())], pa.int32())
 
 
-def radix_plan(rows: DataFrame, fits: int) -> tuple[Radix, int]:
-    """Split recursively until each bucket has at most ``fits`` rows or one key only. Returns the plan and its
-    number of buckets."""
-    root = Radix()
+def radix_buckets(rows: DataFrame, fits: int) -> DataFrame:
+    """``rows`` with the ``bucket`` of their ``key``: at most ``fits`` rows, or one key only. A bucket's name is a
+    prefix of its keys or of a sibling's, so no two buckets have one name."""
     total = rows.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    numbers = 1
-    todo = [(root, total)] if total["n"] > fits and total["lo"] != total["hi"] else []
-    while todo:
-        open_nodes = {}
-        for node, r in todo:
-            node.depth = len(commonprefix([bytes(r["lo"]), bytes(r["hi"])])) + 1
-            open_nodes[node.number] = node
-        found: dict[int, list] = {}
-        for r in _histogram(rows, root, open_nodes):
-            found.setdefault(r["node"], []).append(r)
-        todo = []
-        for number, node in open_nodes.items():
-            room, shared = 0, None
-            for r in sorted(found.get(number, []), key=lambda r: bytes(r["prefix"])):
-                if r["n"] > fits or shared is None or room < r["n"]:
-                    below = Radix(numbers)
-                    numbers += 1
-                    if r["n"] > fits:
-                        if r["lo"] != r["hi"]:
-                            todo.append((below, r))
-                    else:
-                        shared, room = below, fits
-                else:
-                    below = shared
-                if r["n"] <= fits:
-                    room -= r["n"]
-                node.children[bytes(r["prefix"])] = below
-    return root, numbers
+    whole = rows.withColumn("bucket", F.lit(b"").cast("binary"))
+    if total["n"] <= fits or total["lo"] == total["hi"]:
+        return whole
+    done, todo = [], whole
+    while True:
+        # Only the open buckets' rows are read again; a level multiplies the buckets by up to 256.
+        ends = todo.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).select("bucket", _cut_at("lo", "hi").alias("cut"))
+        cut = todo.join(ends, "bucket").withColumn("prefix", F.expr("substring(key, 1, cut)"))
+        counts = cut.groupBy("bucket", "prefix").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        plan = settle_table(counts.groupBy("bucket").applyInArrow(_shared_siblings(fits), "bucket binary, prefix binary, into binary, open boolean"), "radix")
+        placed = cut.join(plan, ["bucket", "prefix"]).drop("bucket", "prefix", "cut").withColumnRenamed("into", "bucket")
+        if not plan.where("open").head(1):
+            done.append(placed.drop("open"))
+            return functools.reduce(DataFrame.unionByName, done)
+        placed = settle_table(placed, "placed")
+        done.append(placed.where("not open").drop("open"))
+        todo = placed.where("open").drop("open")
 
 
 class BurstTrie:
@@ -197,19 +176,10 @@ def _count(rows: pa.Table) -> pa.Table:
 
 def collapse(facts: DataFrame, id_col: str = "id", text_col: str = "statement", fits: int = FITS) -> DataFrame:
     """(keep_id, copies): one row per distinct statement, with the smallest id and the number of distinct ids."""
-    spark = facts.sparkSession
     keyed = facts.select(F.col(id_col).cast("string").alias("id"), canonical_bytes(F.col(text_col)).alias("key")).where("id is not null and length(key) > 0")
     once = keyed.groupBy("key", "id").agg(F.lit(1).alias("one"))
     counted = once.withColumn("at", F.spark_partition_id()).groupBy("key", "at").agg(F.count("*").alias("n"), F.min("id").alias("least")).drop("at")
-    rows = settle_table(counted, "statements")
-    fits = max(fits, rows.count() // MOST_BUCKETS)
-    plan, buckets = radix_plan(rows, fits)
-
-    @F.arrow_udf("int")
-    def bucket(key: pa.Array) -> pa.Array:
-        return pa.array([plan.leaf(k)[0].number for k in key.to_pylist()], pa.int32())
-
-    placed = rows.withColumn("bucket", bucket("key")).repartition(max(1, min(buckets, 4 * shuffle_width(spark))), "bucket")
+    placed = radix_buckets(settle_table(counted, "statements"), fits)
     return placed.groupBy("bucket").applyInArrow(_count, "keep_id string, copies long")
 
 
