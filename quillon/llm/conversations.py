@@ -6,7 +6,7 @@ conversation of any size is spread over tasks; positions are ranks within a part
 before. Sessions split the ordered turns at inactivity gaps calibrated per source over all gaps.
 
 In ``found`` a conversation is the whole thread, as this project's data define it; ``sessions`` gives the split at
-gaps beside it.
+gaps beside it, and drops sessions without reciprocal replies.
 
 Defined results: rows with a null id, export or thread, or unreadable meta, belong to no conversation; an id
 delivered again counts once; a blank sender counts as none; a null line sorts after all lines; ties of instant and
@@ -120,8 +120,9 @@ def calibrated_gaps(turns: DataFrame) -> DataFrame:
 
 
 def sessions(items: DataFrame, exports: DataFrame) -> DataFrame:
-    """(conv, session, n_turns, n_owner, start_us, end_us, replied): the kept conversations split at inactivity
-    gaps; ``replied`` tells sessions in which both roles speak."""
+    """(conv, session, n_turns, n_owner, start_us, end_us, replied): the kept conversations split at inactivity gaps,
+    without the sessions in which only one role speaks, so that ``replied`` holds for all. Sessions are numbered
+    before that."""
     turns = settle_table(conversations(items, exports), "ordered")
     marked = turns.join(calibrated_gaps(turns), "source", "left").withColumn("cut", F.coalesce(F.col("us") - F.col("previous_us") > F.col("gap_us"), F.lit(False)).cast("int"))
     marked = marked.withColumn("inside", F.sum("cut").over(Window.partitionBy("part", "channel").orderBy("pos")))
@@ -132,4 +133,4 @@ def sessions(items: DataFrame, exports: DataFrame) -> DataFrame:
     made = numbered.groupBy("conv", "session").agg(
         F.count("*").alias("n_turns"), F.count_if(F.col("role") == "owner").alias("n_owner"), F.min("us").alias("start_us"), F.max("us").alias("end_us")
     )
-    return made.withColumn("replied", F.col("n_owner").between(1, F.col("n_turns") - 1))
+    return made.withColumn("replied", F.col("n_owner").between(1, F.col("n_turns") - 1)).where("replied")

@@ -60,3 +60,31 @@ def test_sessions(spark):
     rows = [row(f"a{k}", t, "me" if k % 2 else "Bo") for k, t in enumerate([0, 30, 60, 90, 500_000, 500_030])]
     s = sorted(tuple(r) for r in run(spark, rows, C.sessions).select("session", "n_turns", "replied").collect())
     assert s == [(1, 4, True), (2, 2, True)]
+
+
+def test_sessions_against_brute_force(spark, monkeypatch):
+    """Gaps calibrated over all gaps of the source, sessions split at them and numbered, unanswered ones dropped, also
+    where a thread is spread over parts."""
+    import numpy as np
+
+    monkeypatch.setattr(C, "PART_ROWS", 15)
+    rng = np.random.default_rng(2)
+    threads = {f"t{n}": np.cumsum(rng.choice([5, 40, 300, 4000, 100_000], 60, p=[0.4, 0.3, 0.15, 0.1, 0.05])) for n in range(4)}
+    rows = [row(f"{t}-{k:02d}", int(s), "me" if rng.random() < 0.4 else "Bo", t) for t, at in threads.items() for k, s in enumerate(at)]
+    who = {r[0]: r[3] for r in rows}
+    gaps = np.sort(np.concatenate([np.diff(at) for at in threads.values()])) * 1_000_000
+    marks = [gaps[int(np.ceil(q * len(gaps))) - 1] for q in (0.75, 0.99)]
+    gap = min(max(int(np.sqrt(float(marks[0]) * float(marks[1]))), C.LEAST_GAP), C.MOST_GAP)
+    want = set()
+    for t, at in threads.items():
+        number, members = 1, []
+        for k, s in [*enumerate(at), (None, None)]:
+            if k is None or (members and (s - at[members[-1]]) * 1_000_000 > gap):
+                own = sum(who[f"{t}-{m:02d}"] == "me" for m in members)
+                if 0 < own < len(members):
+                    want.add((f"{t}-00", number, len(members), own, int(at[members[-1]] - at[members[0]]) * 1_000_000))
+                number, members = number + 1, []
+            if k is not None:
+                members.append(k)
+    got = {(r.conv, r.session, r.n_turns, r.n_owner, r.end_us - r.start_us) for r in run(spark, rows, C.sessions).collect()}
+    assert got == want and len(want) < sum(len(at) for at in threads.values())
