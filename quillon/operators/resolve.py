@@ -1,8 +1,8 @@
 """Resolution of mentions to entities through tiers, with a queue of matches for a person to confirm.
 
-Similarities are computed in Spark, for all mentions at once; the tiers are replayed in the mentions' sorted order
-on the driver over the candidate lists, since each mention may create an entity that later ones match. Mentions of
-one run are few.
+Similarities are computed for all mentions at once. The tiers are replayed in the mentions' sorted order, since each
+mention may create an entity that later ones match; only similar mentions can meet so, hence each connected component
+of the graph of similar mentions is replayed by itself, in a task. Nothing but the outcome leaves the executors.
 """
 
 from __future__ import annotations
@@ -12,18 +12,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import _EMOJI
+from quillon.identity import entity_id
 from quillon.models.offline import BagEmbedder
+from quillon.operators.extract import embed
+from quillon.operators.graph import components
 from quillon.operators.store import Store
-from quillon.operators.vector import nearest_batch
+from quillon.operators.vector import nearest_batch, similar
+from quillon.session import settle_table
 
 # Candidates per mention, the least similarity of one, the confidence that merges without asking.
 CANDIDATES, FLOOR, MERGES_FROM = 15, 0.6, 0.85
-#: Mentions of one run that the driver replays.
-MOST_MENTIONS = 200_000
 
 
 def normal(name: str) -> str:
@@ -90,50 +93,60 @@ def replay(
     return out
 
 
-def candidate_lists(mentions: DataFrame, entities: DataFrame) -> dict[str, list[tuple[str, str, tuple[str, ...], float]]]:
-    """The nearest entities of each (mention, embedding), any kind: at most ``CANDIDATES`` a mention."""
-    near = nearest_batch(mentions, entities.where("embedding is not null"), CANDIDATES, "mention", "id")
-    joined = near.join(entities.select("id", "name", "aliases"), "id").collect()  # CANDIDATES rows per mention
-    out: dict[str, list] = {}
-    for r in joined:
-        out.setdefault(r["mention"], []).append((r["id"], r["name"], tuple(r["aliases"] or ()), r["similarity"]))
-    return out
+def _candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(mention, candidates): the nearest entities of each mention, any kind, at most ``CANDIDATES``."""
+    near = nearest_batch(queries, entities.where("embedding is not null"), CANDIDATES, "mention", "id")
+    joined = near.join(entities.select("id", "name", "aliases"), "id")
+    return joined.groupBy("mention").agg(F.collect_list(F.struct("id", "name", "aliases", "similarity")).alias("candidates"))
 
 
 def resolve(store: Store, mentions: DataFrame, embedder: BagEmbedder, judge: Callable[[str, str], dict], now: datetime, create: bool = True) -> DataFrame:
     """(mention, entity_id) of the resolved mentions; creations and proposals are written in one batch each."""
-    spark = store.spark
-    names = [r[0] for r in mentions.select("mention").where("mention is not null").distinct().limit(MOST_MENTIONS + 1).collect()]
-    if len(names) > MOST_MENTIONS:
-        raise ValueError(f"more than {MOST_MENTIONS} mentions in one run; resolve them in several")
-    plain = sorted(n for n in names if not n.startswith("face:"))
+    names = settle_table(mentions.select("mention").where("mention is not null").distinct(), "mentions")
     entities = store.read("entities")
-    found: dict = {}
-    between: dict[tuple[str, str], float] = {}
-    if plain:
-        queries = spark.createDataFrame([(n, embedder.embed_query(n)) for n in plain], "mention string, embedding array<float>")
-        found = candidate_lists(queries, entities)
-        docs = spark.createDataFrame([(n, embedder.embed_docs([n])[0]) for n in plain], "id string, embedding array<float>")
-        for r in nearest_batch(queries, docs, min(len(plain), CANDIDATES * 4), "mention", "id", floor=FLOOR).collect():
-            if r["id"] < r["mention"]:
-                between[(r["mention"], r["id"])] = r["similarity"]
-    labels = [n for n in names if n.startswith("face:")]
-    faces = {}
-    if labels:
-        hit = entities.select("id", F.explode("aliases").alias("alias")).where(F.col("alias").isin(*labels)).groupBy("alias").agg(F.min("id").alias("id"))
-        faces = {r["alias"]: r["id"] for r in hit.collect()}
-    people = {r["name"]: r["id"] for r in entities.where(F.col("kind") == "person").where(F.col("name").isin(*plain)).collect()} if plain else {}
-    done = replay(names, found, between, faces, judge, people, create)
-    ids = {}
-    if done.created:
-        rows = spark.createDataFrame([(k, n, "person", embedder.embed_docs([n])[0]) for k, n in enumerate(done.created)], "seq long, name string, kind string, embedding array<float>")
-        ids = {f"new:{r['name']}": r["id"] for r in store.upsert_entities(rows, now).collect()}
-    if done.proposals:
+    labelled = F.col("mention").startswith("face:")
+    by_label = entities.select("id", F.explode("aliases").alias("mention")).groupBy("mention").agg(F.min("id").alias("entity_id"))
+    faces = names.where(labelled).join(by_label, "mention")
+    plain = names.where(~labelled)
+
+    @F.arrow_udf("array<float>")
+    def as_query(t: pa.Array) -> pa.Array:
+        return pa.array([embedder.embed_query(x) for x in t.to_pylist()], pa.list_(pa.float32()))
+
+    queries = settle_table(plain.withColumn("embedding", as_query("mention")), "queries")
+    docs = embed(plain.withColumnRenamed("mention", "id"), "id", embedder)
+    earlier = settle_table(similar(queries, docs, FLOOR, "mention", "id").where("id < mention"), "earlier")
+    between = earlier.groupBy("mention").agg(F.collect_list(F.struct("id", "similarity")).alias("earlier"))
+    parts = components(earlier, "mention", "id").withColumnRenamed("vertex", "mention")
+    people = entities.where("kind = 'person'").groupBy(F.col("name").alias("mention")).agg(F.min("id").alias("person"))
+    rows = plain.join(_candidates(queries, entities), "mention", "left").join(between, "mention", "left").join(parts, "mention", "left").join(people, "mention", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "mention"))
+
+    def play(part: pa.Table) -> pa.Table:
+        found, near, known, own = {}, {}, {}, []
+        for r in part.to_pylist():
+            own.append(r["mention"])
+            found[r["mention"]] = [(c["id"], c["name"], tuple(c["aliases"] or ()), c["similarity"]) for c in r["candidates"] or ()]
+            near.update({(r["mention"], e["id"]): e["similarity"] for e in r["earlier"] or ()})
+            if r["person"] is not None:
+                known[r["mention"]] = r["person"]
+        done = replay(own, found, near, {}, judge, known, create)
+        out = [(m, e, "resolved", None) for m, e in done.resolved.items()] + [(m, None, "created", None) for m in done.created] + [(m, e, "proposed", s) for m, e, s in done.proposals]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
+        return pa.table([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["mention", "entity_id", "state", "score"])
+
+    outcome = rows.groupBy("component").applyInArrow(play, "mention string, entity_id string, state string, score double")
+    # An entity made in this run has the id that its name and kind give.
+    fresh = F.when(F.col("entity_id").startswith("new:"), entity_id(F.substr("entity_id", F.lit(5)), F.lit("person"))).otherwise(F.col("entity_id"))
+    outcome = settle_table(outcome.withColumn("entity_id", fresh), "outcome")  # a judge is asked once
+    made = outcome.where("state = 'created'")
+    if made.head(1):
+        store.upsert_entities(embed(made.select(F.col("mention").alias("seq"), F.col("mention").alias("name"), F.lit("person").alias("kind")), "name", embedder), now)
+    queued = outcome.where("state = 'proposed'")
+    if queued.head(1):
         # Only candidates that the judge takes for the same are queued.
-        fixed = [(m, ids.get(e, e), f"verdict: same=True confidence={s:.2f}", s) for m, e, s in done.proposals]
-        store.add_proposals(spark.createDataFrame(fixed, "mention string, entity_id string, evidence string, score double"), now)
-    pairs = [(m, ids.get(e, e)) for m, e in done.resolved.items()]
-    return spark.createDataFrame(pairs, "mention string, entity_id string")
+        store.add_proposals(queued.select("mention", "entity_id", F.format_string("verdict: same=True confidence=%.2f", "score").alias("evidence"), "score"), now)
+    return outcome.where("state = 'resolved'").select("mention", "entity_id").unionByName(faces.select("mention", "entity_id"))
 
 
 def lookup(store: Store, names: list[str], embedder: BagEmbedder, judge: Callable[[str, str], dict], now: datetime) -> list[str]:

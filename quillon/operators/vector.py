@@ -20,86 +20,89 @@ def search(rows: DataFrame, query: list[float] | Column, limit: int, id_col: str
     return rows.withColumn("similarity", F.round(cosine(F.col(embedding), q), 6)).orderBy(F.desc_nulls_last("similarity"), id_col).limit(limit)
 
 
-#: Queries multiplied at once; the block of query vectors is bounded, so the search takes any number of blocks.
-BLOCK = 4096
+#: Queries and rows multiplied at once.
+BLOCK, ROW_BLOCK, CHUNK = 1024, 16_384, 4096
 
 
 def nearest_batch(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, embedding: str = "embedding", floor: float | None = None) -> DataFrame:
     """(query_id, row_id, similarity, rank): for each query its ``k`` nearest rows, then those of at least
-    ``floor``. Queries go in blocks of bounded size; each task keeps the k best of its rows, so what is shuffled is
-    k rows per query and task."""
-    dims = "array<float>"
-    q = queries.select(F.col(query_id).alias("q"), F.col(embedding).cast(dims).alias("v")).where("v is not null").toLocalIterator(prefetchPartitions=False)
-    spark = queries.sparkSession
-    out = None
-    block: list = []
-
-    def flush() -> None:
-        nonlocal out, block
-        if not block:
-            return
-        ids = [r.q for r in block]
-        matrix = np.array([r.v for r in block], np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-        unit = matrix / np.where(norms == 0, 1, norms)[:, None]
-        shared = spark.sparkContext.broadcast((ids, unit))  # at most BLOCK vectors
-        part = _scan(rows, shared, k, row_id, embedding)
-        out = part if out is None else out.unionByName(part)
-        block = []
-
-    for r in q:
-        block.append(r)
-        if len(block) == BLOCK:
-            flush()
-    flush()
-    if out is None:
-        return spark.createDataFrame([], f"{query_id} long, {row_id} long, similarity double, rank int")
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "r")
-    best = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    if floor is not None:
-        best = best.where(F.col("similarity") >= floor)
-    return best.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "similarity", "rank")
-
-
-def _scan(rows: DataFrame, shared, k: int, row_id: str, embedding: str) -> DataFrame:
-    kind = dict(rows.dtypes)[row_id]
-
-    def best(batches):
-        ids, unit = shared.value
-        kept_s = np.full((len(ids), 0), -2.0)
-        kept_r = np.zeros((len(ids), 0), object)
-        for batch in batches:
-            names, vectors = batch.column(0).to_pylist(), batch.column(1)
-            ok = [i for i, v in enumerate(vectors.to_pylist()) if v is not None and len(v) == unit.shape[1]]
-            if not ok:
+    ``floor``; ties go by row id. Queries and rows go in blocks of bounded size, each block of queries meets each block
+    of rows in one task by matrix products, and k rows per query and pair of blocks go on. Neither side is collected."""
+    kind_q, kind_r = dict(queries.dtypes)[query_id], dict(rows.dtypes)[row_id]
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out_q, out_r, out_s = [], [], []
+        for n in {len(v) for v in a["v"].to_pylist()}:
+            ids, unit = _unit(a, "q", n)
+            names, other = _unit(b, "r", n)
+            if not len(names):
                 continue
-            m = np.array([vectors[i].as_py() for i in ok], np.float64)
-            n = np.linalg.norm(m, axis=1)
-            s = np.round(unit @ (m / np.where(n == 0, 1, n)[:, None]).T, 6)
-            r = np.empty(len(ok), object)
-            r[:] = [names[i] for i in ok]
-            kept_s = np.hstack([kept_s, s])
-            kept_r = np.hstack([kept_r, np.broadcast_to(r, s.shape)])
-            if kept_s.shape[1] > 4 * k + 1024:
-                kept_s, kept_r = _cut(kept_s, kept_r, k)
-        kept_s, kept_r = _cut(kept_s, kept_r, k)
-        q = [ids[i] for i in range(len(ids)) for _ in range(kept_s.shape[1])]
-        yield pa.record_batch([pa.array(q, _arrow(kind_q)), pa.array(kept_r.ravel().tolist(), _arrow(kind)), pa.array(kept_s.ravel(), pa.float64())], names=["q", "r", "similarity"])
-
-    kind_q = "bigint" if isinstance(shared.value[0][0], int) else "string"
-    return rows.select(F.col(row_id).alias("r"), F.col(embedding).cast("array<float>").alias("v")).mapInArrow(best, f"q {kind_q}, r {kind}, similarity double")
-
-
-def _cut(s: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if s.shape[1] <= k:
-        return s, r
-    keep = np.empty((s.shape[0], k), np.int64)
-    for i in range(s.shape[0]):
-        # All ties of the k-th similarity are ordered by id before the cut.
-        edge = np.partition(-s[i], k - 1)[k - 1]
-        near = np.flatnonzero(-s[i] <= edge)
-        keep[i] = sorted(near, key=lambda j: (-s[i, j], r[i, j]))[:k]
-    return np.take_along_axis(s, keep, 1), np.take_along_axis(r, keep, 1)
+            order = np.argsort(names, kind="stable")
+            names, other = names[order], other[order]
+            kept_s, kept_at = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
+            for at in range(0, len(names), CHUNK):
+                s = np.round(unit @ other[at : at + CHUNK].T, 6)
+                kept_s = np.hstack([kept_s, s])
+                kept_at = np.hstack([kept_at, np.broadcast_to(np.arange(at, at + s.shape[1]), s.shape)])
+                if kept_s.shape[1] > k:
+                    # The columns stand in the order of their ids, so a stable sort settles ties.
+                    keep = np.argsort(-kept_s, axis=1, kind="stable")[:, :k]
+                    keep.sort(axis=1)
+                    kept_s, kept_at = np.take_along_axis(kept_s, keep, 1), np.take_along_axis(kept_at, keep, 1)
+            out_q.append(np.repeat(ids, kept_s.shape[1]))
+            out_r.append(names[kept_at.ravel()])
+            out_s.append(kept_s.ravel())
+        columns = [np.concatenate(x) if x else np.zeros(0) for x in (out_q, out_r, out_s)]
+        return pa.table({"q": pa.array(columns[0].tolist(), _arrow(kind_q)), "r": pa.array(columns[1].tolist(), _arrow(kind_r)), "similarity": pa.array(columns[2].tolist(), pa.float64())})
+
+    met = _blocks_meet(queries, rows, query_id, row_id, embedding, best)
+    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "r")  # k rows per block of rows
+    ranked = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if floor is not None:
+        ranked = ranked.where(F.col("similarity") >= floor)
+    return ranked.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "similarity", "rank")
+
+
+def similar(queries: DataFrame, rows: DataFrame, floor: float, query_id: str, row_id: str, embedding: str = "embedding") -> DataFrame:
+    """(query_id, row_id, similarity): all rows of at least ``floor`` for each query, in blocks like ``nearest_batch``."""
+    kind_q, kind_r = dict(queries.dtypes)[query_id], dict(rows.dtypes)[row_id]
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        for n in {len(v) for v in a["v"].to_pylist()}:
+            ids, unit = _unit(a, "q", n)
+            names, other = _unit(b, "r", n)
+            for at in range(0, len(names), CHUNK):
+                s = np.round(unit @ other[at : at + CHUNK].T, 6)
+                x, y = np.nonzero(s >= floor)
+                for column, values in zip(out, (ids[x], names[at + y], s[x, y])):
+                    column.extend(values.tolist())
+        return pa.table({"q": pa.array(out[0], _arrow(kind_q)), "r": pa.array(out[1], _arrow(kind_r)), "similarity": pa.array(out[2], pa.float64())})
+
+    met = _blocks_meet(queries, rows, query_id, row_id, embedding, near)
+    return met.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "similarity")
+
+
+def _blocks_meet(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, embedding: str, meet) -> DataFrame:
+    """(q, r, similarity) that ``meet`` makes of each block of queries (q, v) and each block of rows (r, v)."""
+    q = queries.select(F.col(query_id).alias("q"), F.col(embedding).cast("array<float>").alias("v")).where("q is not null and v is not null")
+    r = rows.select(F.col(row_id).alias("r"), F.col(embedding).cast("array<float>").alias("v")).where("r is not null and v is not null")
+    blocks_q, blocks_r = (max(1, -(-df.count() // most)) for df, most in ((q, BLOCK), (r, ROW_BLOCK)))
+    left = q.withColumn("bq", F.pmod(F.xxhash64("q"), F.lit(blocks_q)).cast("int")).withColumn("br", F.explode(F.sequence(F.lit(0), F.lit(blocks_r - 1))))
+    right = r.withColumn("br", F.pmod(F.xxhash64("r"), F.lit(blocks_r)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))))
+    kinds = f"q {dict(q.dtypes)['q']}, r {dict(r.dtypes)['r']}, similarity double"
+    return left.groupBy("bq", "br").cogroup(right.groupBy("bq", "br")).applyInArrow(meet, kinds)
+
+
+def _unit(rows: pa.Table, key: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows whose vectors have ``n`` numbers, zero vectors as they are."""
+    vectors = rows["v"].combine_chunks()
+    ok = np.flatnonzero(vectors.value_lengths().to_numpy(zero_copy_only=False) == n)
+    ids = np.array(rows[key].to_pylist(), object)[ok]
+    flat = vectors.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = np.nan_to_num(flat).reshape(len(ok), n)
+    size = np.linalg.norm(m, axis=1)
+    return ids, m / np.where(size == 0, 1, size)[:, None]
 
 
 def _arrow(kind: str) -> pa.DataType:
