@@ -57,10 +57,11 @@ _THAI = regex.compile("(?:" + "|".join(THAI_PARTICLES) + r")(?=[^\S\n\r]+\S)")
 _GREEK_BEFORE = regex.compile(r"(?r)[\p{Greek}\p{M}]")
 _TOKEN = r"[\p{L}\p{M}]++(?:[.\-][\p{L}\p{M}]++)*+"
 _WORDS = regex.compile(_TOKEN)
-_STOPPED = regex.compile(rf"(?<![\p{{L}}\p{{M}}])({_TOKEN})\.")
 #: A capital after a word in small letters, where no sentence begins. A title without its stop stands before a capital, a
 #: name that needs none does not.
-_NAME = regex.compile(rf"(?<![\p{{L}}\p{{M}}.\-])\p{{Ll}}[\p{{Ll}}\p{{M}}]*+[ \xa0][\"“„«(]?(\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:[.\-][\p{{L}}\p{{M}}]++)*+)(?!\.|\s\p{{Lu}})")
+_NAME = regex.compile(r"[ \xa0](?=[\"“„«(]?\p{Lu})(?<=(?<![\p{L}\p{M}.\-])\p{Ll}[\p{Ll}\p{M}]*[ \xa0])[\"“„«(]?(\p{Lu}[\p{L}\p{M}]*+(?:[.\-][\p{L}\p{M}]++)*+)(?!\.|\s\p{Lu})")
+#: A full stop that surely ends a sentence, or surely does not.
+_SURE_STOP = regex.compile(r"\.(?=[\n\r]|\Z|\s\p{Ll})")
 
 
 def _units(text: str, wrapped: bool) -> Iterator[tuple[int, int]]:
@@ -106,12 +107,16 @@ class Words:
 
     def _document(self) -> None:
         self.last, self.inside = Counter(), Counter()
-        for m in _STOPPED.finditer(self.text):
-            after = self.text[m.end() : m.end() + 2]
+        for m in _SURE_STOP.finditer(self.text):
+            at = m.end()
+            word = _WORD_BEFORE.match(self.text, pos=0, endpos=at - 1)
+            if word is None:
+                continue
+            after = self.text[at : at + 2]
             if not after or (after[0] in "\n\r" and (not self.wrapped or not after.strip())):
-                self.last[m[1]] += 1
+                self.last[word[0]] += 1
             elif after[:1].isspace() and after[1:].islower():
-                self.inside[m[1]] += 1
+                self.inside[word[0]] += 1
 
     def abbreviation(self, word: str, following: str = "") -> bool:
         """Whether a full stop after the word, before ``following`` with a capital, belongs to the word."""
@@ -187,6 +192,7 @@ def sentences(text: str | None, source: str | None = None, never_last: frozenset
         return []
     kind = (source or "").strip().lower()
     words = Words(never_last, text, kind in WRAPPED_SOURCES, often_last)
+    thai_text = _THAI.search(text) is not None
     out: list[tuple[int, int]] = []
     for start, end in _units(text, kind in WRAPPED_SOURCES):
         if text[start:end].isspace() or start == end:
@@ -207,7 +213,7 @@ def sentences(text: str | None, source: str | None = None, never_last: frozenset
                 continue
             if _ends(text, m, start, end, words):
                 cuts.append(m.end())
-        if "฀" <= max(text[body:end]) and (thai := [m.end() for m in _THAI.finditer(text, body, end)]):
+        if thai_text and (thai := [m.end() for m in _THAI.finditer(text, body, end)]):
             emoji = regex.compile(rf"(?V1)(?:\s*{_EMOJI})*")
             cuts = sorted({*cuts, *(emoji.match(text, c, end).end() for c in thai)})
         at = start
@@ -243,11 +249,13 @@ def word_evidence(documents: DataFrame) -> DataFrame:
                 wrapped = (source or "").strip().lower() in WRAPPED_SOURCES
                 if "." in text:
                     for start, end in _units(text, wrapped):
-                        for m in _STOPPED.finditer(text, start, end):
-                            if m.end() >= end or not text[m.end()].isalnum():
-                                stops[m[1]] += 1
-                                if not text[m.end() : end].strip(" \t\xa0\"”»)"):
-                                    ends[m[1]] += 1
+                        at = text.find(".", start, end)
+                        while at >= 0:
+                            if (at + 1 >= end or not text[at + 1].isalnum()) and (m := _WORD_BEFORE.match(text, pos=start, endpos=at)):
+                                stops[m[0]] += 1
+                                if not text[at + 1 : end].strip(" \t\xa0\"”»)"):
+                                    ends[m[0]] += 1
+                            at = text.find(".", at + 1, end)
             if len(words) > 200_000:
                 yield flush()
                 words, stops, ends = Counter(), Counter(), Counter()
