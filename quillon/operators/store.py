@@ -1,11 +1,16 @@
 """The bi-temporal store: snapshot tables on Parquet with insert-or-ignore, change and audit operations.
 
-Every table is a folder of numbered snapshots and a pointer to the current one; a write makes the next snapshot and
-then moves the pointer, so readers see whole states. Append-only tables add files to one snapshot.
+Every table is a folder of numbered snapshots and a pointer to the current one. New rows are added as files of the
+snapshot. A change writes the changed rows alone, as a numbered change set beside the snapshot; readers take the
+latest row of a key, and so see whole writes. After ``MOST_CHANGES`` sets they are folded into a new snapshot, and
+snapshots before the last one are deleted. A change set or snapshot that another writer has begun is an error, so two
+writers do not overwrite each other. Audit rows are written before what they tell of, and once, so that a write that
+was cut off can be repeated.
 """
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +21,10 @@ from quillon import schemas
 from quillon.identity import entity_id, statement_hash, uuid_of
 from quillon.models.offline import BagEmbedder
 from quillon.operators.windows import first_by_min
+from quillon.session import release, settle_table
 
+#: Change sets of a table that readers merge.
+MOST_CHANGES = 16
 # What may change in a stored fact.
 CHANGEABLE = ("kind", "confidence", "entity_ids", "happened_at", "invalid_at")
 
@@ -24,7 +32,8 @@ CHANGEABLE = ("kind", "confidence", "entity_ids", "happened_at", "invalid_at")
 class SnapshotTable:
     """One table of the store."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType) -> None:
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType, key: str = "id") -> None:
+        self.key = key
         self.spark, self.path, self.schema = spark, f"{root.rstrip('/')}/{name}", schema
         hadoop = spark._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
@@ -40,16 +49,44 @@ class SnapshotTable:
         finally:
             stream.close()
 
+    def _changes(self, version: int) -> list[str]:
+        """The folders of the complete change sets of a snapshot, in their order."""
+        found = self._fs.globStatus(self._path(f"{self.path}/v{version}-change-*/_SUCCESS"))
+        return sorted(str(f.getPath().getParent().toString()) for f in found or [])
+
     def read(self) -> DataFrame:
         version = self._pointer()
         if not version:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
+        base = self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
+        sets = self._changes(version)
+        if not sets:
+            return base
+        columns = [f.name for f in self.schema]
+        numbered = [self.spark.read.schema(self.schema).parquet(s).withColumn("__no", F.lit(k)) for k, s in enumerate(sets)]
+        changed = functools.reduce(DataFrame.unionByName, numbered)
+        if len(sets) > 1:
+            last = changed.groupBy(self.key).agg(F.max("__no").alias("__no"))
+            changed = changed.join(last, [self.key, "__no"])
+        changed = changed.select(*columns)
+        return base.join(changed.select(self.key), self.key, "left_anti").select(*columns).unionByName(changed)
 
     def replace(self, rows: DataFrame) -> None:
-        version = self._pointer() + 1
-        self._fit(rows).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self._move(version)
+        """Make ``rows`` the next snapshot."""
+        version = self._pointer()
+        self._fit(rows).write.mode("errorifexists").parquet(f"{self.path}/v{version + 1}")
+        self._move(version + 1)
+        for old in self._fs.globStatus(self._path(f"{self.path}/v{version - 1}*")) or []:
+            if old.getPath().getName().split("-")[0] == f"v{version - 1}":
+                self._fs.delete(old.getPath(), True)
+
+    def change(self, rows: DataFrame) -> None:
+        """Put ``rows``, whole and one for each key that exists, in place of the stored ones."""
+        version = self._pointer()
+        done = self._changes(version)
+        self._fit(rows).write.mode("errorifexists").parquet(f"{self.path}/v{version}-change-{len(done):06d}")
+        if len(done) + 1 >= MOST_CHANGES:
+            self.replace(self.read())
 
     def append(self, rows: DataFrame) -> None:
         version = self._pointer()
@@ -83,7 +120,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
-        self.tables = {name: SnapshotTable(spark, root, name, schema) for name, schema in self.TABLES.items()}
+        self.tables = {name: SnapshotTable(spark, root, name, schema, schema.fields[0].name) for name, schema in self.TABLES.items()}
 
     def read(self, name: str) -> DataFrame:
         return self.tables[name].read()
@@ -122,7 +159,9 @@ class Store:
         return keyed.select("seq", "id")
 
     def _log(self, rows: DataFrame) -> None:
-        start = self.read("fact_history").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        told = self.read("fact_history")
+        start = told.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        rows = rows.join(told.select("fact_id", "event", "at"), ["fact_id", "event", "at"], "left_anti")
         self.tables["fact_history"].append(rows.withColumn("id", F.monotonically_increasing_id() + F.lit(start + 1)))
 
     def update_facts(self, changes: DataFrame, now: datetime) -> None:
@@ -147,9 +186,9 @@ class Store:
             before = F.to_json(F.struct(*(F.col(c) for c in facts.columns if c != "embedding")))
             at = F.lit(now).cast("timestamp")
             self._log(hit.select(F.col("id").alias("fact_id"), event.alias("event"), before.alias("prev"), F.to_json("__new").alias("next"), at.alias("at")))
-            changed = facts.join(real, "id", "left")
-            columns = [F.coalesce(F.col(f"__new.{c}"), F.col(c)).alias(c) if c in names else F.when(F.col("__new").isNotNull(), at).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in facts.columns]
-            self.tables["facts"].replace(changed.select(*columns))
+            columns = [F.coalesce(F.col(f"__new.{c}"), F.col(c)).alias(c) if c in names else at.alias(c) if c == "updated_at" else F.col(c) for c in facts.columns]
+            if hit.limit(1).count():
+                self.tables["facts"].change(hit.select(*columns))
         finally:
             hit.unpersist()
 
@@ -167,7 +206,10 @@ class Store:
         more = aliases.groupBy(F.col("entity_id").alias("id")).agg(F.sort_array(F.collect_set("alias")).alias("__more"))
         old = self.read("entities")
         both = F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("__more", F.array().cast("array<string>"))))
-        self.tables["entities"].replace(old.join(more, "id", "left").withColumn("aliases", both).select(*old.columns))
+        changed = settle_table(old.join(more, "id").withColumn("aliases", both).select(*old.columns), "aliases")
+        if changed.head(1):
+            self.tables["entities"].change(changed)
+        release(changed)
 
     def label_face_cluster(self, cluster: int, name: str, now: datetime, embedder: BagEmbedder | None = None) -> str:
         """A person of this name with the cluster as an alias; returns the id. The name gets a vector, without which
@@ -197,9 +239,10 @@ class Store:
 
     def resolve_proposal(self, id_: str, accept: bool) -> None:
         """Set the state; entities and aliases stay as they are."""
-        rows = self.read("merge_proposals")
-        state = F.when(F.col("id") == id_, F.lit("confirmed" if accept else "rejected")).otherwise(F.col("status"))
-        self.tables["merge_proposals"].replace(rows.withColumn("status", state))
+        row = self.read("merge_proposals").where(F.col("id") == id_).limit(1).collect()  # one row
+        if row:
+            decided = self.spark.createDataFrame(row, self.TABLES["merge_proposals"])
+            self.tables["merge_proposals"].change(decided.withColumn("status", F.lit("confirmed" if accept else "rejected")))
 
     def save_profile(self, body: str, fact_count: int, now: datetime) -> None:
         row = self.spark.createDataFrame([(f"{now.isoformat()}", body, fact_count, now)], self.TABLES["profiles"])

@@ -234,3 +234,23 @@ def test_embedder_and_transcript(spark):
     items = spark.createDataFrame([("i1", "sms", NOW, None, "hi", None, True, '{"ocr_lines":["x","y"],"vision_tags":["pet"]}', "g", 1)], "id string, source string, ts timestamp, sender string, text string, media_path string, is_system boolean, meta string, source_group string, seq long")
     assert window_transcripts(items).first().transcript == "[SYSTEM @ 2024-05-01T12:00:00]: hi OCR: x | y tags: pet"
     assert replace(Models(), embedder=e).embedder.dims == 8
+
+
+def test_changes_are_sets_that_fold(spark, tmp_path, monkeypatch):
+    """A change writes its rows alone, the latest one counts, sets fold into a snapshot, and old snapshots go."""
+    from quillon.operators import store as st
+
+    monkeypatch.setattr(st, "MOST_CHANGES", 3)
+    s = st.Store(spark, str(tmp_path / "s"))
+    now = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    s.add_facts(spark.createDataFrame([(k, "event", f"s{k}", 0.5) for k in range(6)], "seq long, kind string, statement string, confidence double"), now)
+    ids = {r.statement: r.id for r in s.read("facts").collect()}
+    for k in range(7):
+        s.update_facts(spark.createDataFrame([(ids["s1"], f"k{k}"), (ids[f"s{k % 6}"], f"k{k}")], "id string, kind string").distinct(), datetime(2024, 1, 2 + k, tzinfo=timezone.utc))
+        assert {r.statement: r.kind for r in s.read("facts").collect()}["s1"] == f"k{k}" and s.read("facts").count() == 6
+        s.add_facts(spark.createDataFrame([(0, "event", "s1", 0.1)], "seq long, kind string, statement string, confidence double"), now)
+    names = sorted(p.name for p in (tmp_path / "s" / "facts").iterdir() if not p.name.startswith("."))
+    assert names == ["CURRENT", "v2", "v2-change-000000", "v2-change-000001", "v2-change-000002", "v3", "v3-change-000000"]
+    history = s.read("fact_history").where("event = 'UPDATE'").count()
+    s.update_facts(spark.createDataFrame([(ids["s1"], "k6")], "id string, kind string"), datetime(2024, 1, 8, tzinfo=timezone.utc))
+    assert s.read("fact_history").where("event = 'UPDATE'").count() == history  # repeated after a failure: told once
