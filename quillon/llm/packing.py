@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.tokens import TOKENIZERS, token_ids
+from quillon.llm.tokens import TOKENIZERS, token_counts
 from quillon.session import settle_table
 
 #: Hashed terms (bounds the frequency table), documents and tokens in a shard.
@@ -309,7 +309,7 @@ def _sized(documents: DataFrame, tokenizer: str, folder: str) -> tuple[DataFrame
             [pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["terms", "counts"]
         )
 
-    sized = documents.select(F.col("doc_id").cast("long"), F.size(token_ids(documents, "text", folder, tokenizer)).cast("long").alias("n_tokens"), term_lists("text").alias("x"))
+    sized = documents.select(F.col("doc_id").cast("long"), token_counts(documents, "text", folder, tokenizer).alias("n_tokens"), term_lists("text").alias("x"))
     sized = settle_table(sized.select("doc_id", "n_tokens", "x.terms", "x.counts"), "sized")
     docs, tokens, mean = sized.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.avg(F.aggregate("counts", F.lit(0), lambda a, b: a + b))).first()
     frequency = sized.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()  # at most TERMS rows

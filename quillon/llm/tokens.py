@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.session import scratch_path
+from quillon.session import qualified, scratch_path
 
 #: The folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -205,7 +205,8 @@ class Encoder:
         self.ranks, self.find, self.lexicon = ranks, regex.compile(pattern).findall, lexicon
         self.known: dict[str, list[int]] = {}
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def _words(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of the texts, all of them known now."""
         cut = [self.find(t) if t else [] for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
@@ -216,14 +217,22 @@ class Encoder:
         starts, ids = self.lexicon.starts, self.lexicon.ids
         for word, b, number in zip(new, raw, numbers):
             known[word] = ids[starts[number] : starts[number + 1]].tolist() if number >= 0 else merge(b, self.ranks)
-        out = []
-        for words in cut:
+        return cut
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        out, known = [], self.known
+        for words in self._words(texts):
             one: list[int] = []
             for w in words:
                 one += known[w]
             out.append(one)
         return out
 
+    def count(self, texts: list[str | None]) -> list[int]:
+        """The number of tokens of each text."""
+        cut, known = self._words(texts), self.known
+        return [sum([len(known[w]) for w in words]) for words in cut]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -263,12 +272,12 @@ def _publish(spark: SparkSession, label: str, data: bytes) -> str:
     stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     stream.write(data)
     stream.close()
-    spark.sparkContext.addFile(path if "://" in path or path.startswith("file:") else "file://" + path)
+    spark.sparkContext.addFile(qualified(spark, path))
     return path.rsplit("/", 1)[1]
 
 
-def token_ids(documents: DataFrame, text_col: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY, frequent: int = FREQUENT_WORDS) -> Column:
-    """A column expression with the token ids of ``text_col``; building it counts the words of all documents."""
+def _published(documents: DataFrame, text_col: str, folder: str, name: str, frequent: int) -> tuple[str, str, str]:
+    """The files that workers encode with, and the pattern of words; counts the words of all documents."""
     spark = documents.sparkSession
     pattern, ranks = word_pattern(folder), load_ranks(folder, name)
     counts = word_counts(documents, text_col, pattern)
@@ -277,14 +286,30 @@ def token_ids(documents: DataFrame, text_col: str = "text", folder: str = TOKENI
     lexicon = Transducer.compile({w: merge(w, ranks) for w in words})
     lexicon_file = _publish(spark, "lexicon", lexicon.to_bytes())
     ranks_file = _publish(spark, "ranks", (Path(folder) / f"{name}.tiktoken").read_bytes())
+    return lexicon_file, ranks_file, pattern
+
+
+def token_ids(documents: DataFrame, text_col: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY, frequent: int = FREQUENT_WORDS) -> Column:
+    """A column expression with the token ids of ``text_col``; building it counts the words of all documents."""
+    files = _published(documents, text_col, folder, name, frequent)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def ids(text: pa.Array) -> pa.Array:
-        encoder = _worker_encoder(lexicon_file, ranks_file, pattern)
-        return pa.array(encoder.encode(text.to_pylist()), pa.list_(pa.int32()))
+        return pa.array(_worker_encoder(*files).encode(text.to_pylist()), pa.list_(pa.int32()))
 
     return ids(F.col(text_col))
 
 
+def token_counts(documents: DataFrame, text_col: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY, frequent: int = FREQUENT_WORDS) -> Column:
+    """A column expression with the number of tokens of ``text_col``, without their ids."""
+    files = _published(documents, text_col, folder, name, frequent)
+
+    @F.arrow_udf(T.LongType())
+    def counts(text: pa.Array) -> pa.Array:
+        return pa.array(_worker_encoder(*files).count(text.to_pylist()), pa.int64())
+
+    return counts(F.col(text_col))
+
+
 def found(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", token_ids(documents).alias("ids"))
