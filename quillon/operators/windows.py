@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import best_label, combined_score, month_bucket
 from quillon.identity import window_hash
 from quillon.operators import ordered
-from quillon.operators.ordered import in_parts, largest_group, with_lags, with_running_sum
+from quillon.operators.ordered import in_parts, largest_group, with_lags, with_neighbours, with_running_sum
 from quillon.schemas import UNSEEN_LABELS
 
 
@@ -53,6 +53,22 @@ def session_gaps(events: DataFrame, key: str, ts: str, gap_minutes: int = 180) -
     return made.select(key, (F.col("island") + 1).alias("session_no"), "n", "start_us", "end_us")
 
 
+def nearest_counterparty(items: DataFrame, owner: str = "me", group: str = "source_group") -> DataFrame:
+    """``items`` (group, ts, seq, sender) with ``counterparty``: the sender, or for the owner's own messages who else of
+    the group spoke nearest in time; of equally near ones the earlier. Null where nobody else spoke."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    other = F.when(F.col("sender").isNotNull() & (F.col("sender") != owner), True)
+    rows = items.withColumn("__us", us)
+    # The value rises along the order; of one instant the first stands for all on the left side.
+    left = F.when(other, F.struct("__us", (-F.col("seq")).alias("__no"), "sender"))
+    right = F.when(other, F.struct("__us", F.col("seq").alias("__no"), "sender"))
+    rows = with_neighbours(rows, [group], ["__us", "seq"], left, "__before", "__unused").drop("__unused")
+    rows = with_neighbours(rows, [group], ["__us", "seq"], right, "__unused", "__after").drop("__unused")
+    behind, ahead = F.col("__us") - F.col("__before.__us"), F.col("__after.__us") - F.col("__us")
+    near = F.when(F.col("__after").isNull() | (behind <= ahead), F.col("__before.sender")).otherwise(F.col("__after.sender"))
+    return rows.withColumn("counterparty", F.when(other, F.col("sender")).otherwise(near)).drop("__us", "__before", "__after")
+
+
 def select_for_vision(photos: DataFrame, cap: int, with_dates: bool = True) -> DataFrame:
     """The ``cap`` photos (path, tags, taken, seq) that get a closer look: best scores first, or round-robin over
     months. Photos whose best label tells that nobody is on them are left out."""

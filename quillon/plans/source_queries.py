@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars
+from quillon.operators import windows
 from quillon.operators.evals import load_gold
 from quillon.sources import phone_backup as pb
+from quillon.sources import render
 from quillon.sources.chat_text import orphan_lines, read_chat_text
 from quillon.sources.dispatch import read
 from quillon.sources.dm_json import read_dm_json
@@ -296,3 +298,46 @@ def gold_from_yaml(spark: SparkSession, d: str) -> DataFrame:
     lines = [f"- kind: {'event' if r.n_nationkey % 2 == 0 else 'habit'}\n  statement: {json.dumps(r.n_name)}\n  must_match: [{json.dumps('^' + r.n_name)}, {json.dumps(f'k{r.n_regionkey}')}]\n" for r in n.orderBy("n_nationkey").collect()]  # 25 rows at every scale
     at.write_text("".join(lines))
     return load_gold(spark, str(at)).select("seq", "kind", "statement", "must_match")
+
+
+_COUNTER = "(SELECT o_orderkey, o_custkey % 30 AS g, o_orderdate AS ts, CASE WHEN o_orderkey % 3 = 0 THEN 'me' WHEN o_orderkey % 3 = 1 THEN 'c' || (o_custkey % 7) ELSE 'd' || (o_custkey % 5) END AS sender FROM orders)"
+
+
+@query(f"""
+WITH s AS {_COUNTER}, p AS (SELECT a.o_orderkey, arg_min(b.sender, (abs(epoch_us(b.ts) - epoch_us(a.ts)), b.ts, b.o_orderkey)) AS near FROM s a JOIN s b ON a.g = b.g AND b.sender <> 'me' WHERE a.sender = 'me' GROUP BY a.o_orderkey)
+SELECT s.o_orderkey, CASE WHEN s.sender = 'me' THEN p.near ELSE s.sender END AS counterparty FROM s LEFT JOIN p ON p.o_orderkey = s.o_orderkey""")
+def nearest_counterparty(spark: SparkSession, d: str) -> DataFrame:
+    """Who else of the group spoke nearest in time; of equally near ones the earlier."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey") % 3
+    sender = F.when(k == 0, F.lit("me")).when(k == 1, F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string"))).otherwise(F.concat(F.lit("d"), (F.col("o_custkey") % 5).cast("string")))
+    items = o.select("o_orderkey", (F.col("o_custkey") % 30).cast("string").alias("source_group"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("seq"), sender.alias("sender"))
+    return windows.nearest_counterparty(items).select("o_orderkey", "counterparty")
+
+
+_RENDERED = "SELECT '{f}' AS format, CASE WHEN o_orderkey % 2 = 0 THEN 'me' ELSE 'Zoë ' || o_custkey END AS sender, {text} AS text, {media} AS media_path, epoch_us(o_orderdate) AS us FROM orders"
+
+
+@query(" UNION ALL ".join((
+    _RENDERED.format(f="chat", text="CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || chr(10) || '– \"' || o_orderkey || '\"' END", media="CASE WHEN o_orderkey % 5 = 0 THEN 'p ' || o_orderkey || '.jpg' END"),
+    _RENDERED.format(f="dm", text="CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || chr(10) || '– \"' || o_orderkey || '\"' END", media="CASE WHEN o_orderkey % 5 = 0 THEN 'p ' || o_orderkey || '.jpg' END"),
+    _RENDERED.format(f="sms", text="CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || chr(10) || '– \"' || o_orderkey || '\"' END", media="NULL"),
+)))
+def rendered_exports(spark: SparkSession, d: str) -> DataFrame:
+    """Items rendered in three formats and read back: chats, direct messages with texts mis-decoded, SMS backups."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    items = o.select(
+        F.concat(F.lit("t"), (F.col("o_custkey") % 9).cast("string")).alias("thread"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.when(key % 2 == 0, "me").otherwise(F.concat(F.lit("Zoë "), F.col("o_custkey").cast("string"))).alias("sender"),
+        F.when(key % 5 != 0, F.concat("o_orderpriority", F.lit('\n– "'), key.cast("string"), F.lit('"'))).alias("text"), F.when(key % 5 == 0, F.concat(F.lit("p "), key.cast("string"), F.lit(".jpg"))).alias("media_path"),
+        F.lit(False).alias("is_system"), F.lit("g").alias("source_group"), key.alias("seq"),
+    )
+    chat, dm, sms = scratch_path(spark, "chat"), str(shared_file_dir(spark, "dm")), scratch_path(spark, "sms")
+    # Two digits of a year mean this century, so the chat is told twenty years later.
+    later = F.make_ym_interval(F.lit(20))
+    render.render_chat_text(items.withColumn("ts", (F.col("ts").cast("timestamp_ntz") + later).cast("timestamp")), chat)
+    render.render_dm_json(items, f"{dm}/inbox")
+    render.render_sms_xml(items.withColumn("thread", F.lit(None).cast("string")), sms)
+    got = [("chat", read_chat_text(spark, chat, "UTC", "t").withColumn("ts", (F.col("ts").cast("timestamp_ntz") - later).cast("timestamp"))), ("dm", read_dm_json(spark, f"{dm}/inbox")), ("sms", read_sms_xml(spark, sms))]
+    parts = [df.select(F.lit(f).alias("format"), "sender", "text", "media_path", F.unix_micros("ts").alias("us")) for f, df in got]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
