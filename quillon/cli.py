@@ -169,14 +169,14 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "pipeline":
             show(run_pipeline(store, settings, models, args.skip_vision, args.cap, args.retry_failed or args.action == "retry-given-up"))
         elif args.command == "label-faces":
-            show({"id": store.label_face_cluster(args.cluster, args.name, _now())})
+            show({"id": store.label_face_cluster(args.cluster, args.name, _now(), models.embedder)})
         elif args.command == "resolve":
             for ids, accept in ((args.yes, True), (args.no, False)):
                 for i in ids:
                     store.resolve_proposal(i, accept)
             show([r.asDict() for r in pending_proposals(store.read("merge_proposals"), store.read("entities")).limit(1000).collect()])
         elif args.command == "eval":
-            data = json.loads(Path(args.file).read_text())
+            data = evals.load_rows(args.file)
             show(evaluate_extraction(store, settings, models, data) if args.what == "extraction" else evaluate_answers(store, models, data))
         elif args.command == "profile":
             show({"saved": synthesize(store, models.renderer, _now())})

@@ -98,16 +98,6 @@ def scores(extracted: DataFrame, gold: DataFrame, pairs: DataFrame) -> DataFrame
     return scored.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def greedy_scores(extracted: DataFrame, gold: DataFrame, key: Column | None = None, gold_key: Column | None = None, floor: float = FLOOR) -> DataFrame:
-    """Scores of the greedy matching. Where every gold fact names one exact statement by ``gold_key``, matching is
-    an equi-join and needs no group at all."""
-    if key is None or gold_key is None:
-        return scores(extracted, gold, match(extracted, gold, floor))
-    x = extracted.select("kind", key.alias("k"), F.col("seq").alias("extracted_seq"))
-    g = gold.select("kind", gold_key.alias("k"), F.col("seq").alias("gold_seq"))
-    return scores(extracted, gold, g.join(x, ["kind", "k"]).select("kind", "gold_seq", "extracted_seq"))
-
-
 def misses(gold: DataFrame, pairs: DataFrame) -> DataFrame:
     return gold.join(pairs.select(F.col("gold_seq").alias("seq")), "seq", "left_anti")
 

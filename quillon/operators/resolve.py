@@ -155,9 +155,3 @@ def lookup(store: Store, names: list[str], embedder: BagEmbedder, judge: Callabl
         return []
     rows = store.spark.createDataFrame([(n,) for n in names], "mention string")
     return sorted({r["entity_id"] for r in resolve(store, rows, embedder, judge, now, create=False).collect()})
-
-
-def apply_confirmed(store: Store) -> None:
-    """Beyond the queue's own contract: make confirmed mentions aliases of their entities."""
-    done = store.read("merge_proposals").where("status = 'confirmed'")
-    store.add_aliases(done.select("entity_id", F.col("mention").alias("alias")))

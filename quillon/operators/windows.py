@@ -84,14 +84,8 @@ def round_robin(rows: DataFrame, bucket: str, score: str, seq: str, cap: int) ->
     return rows.withColumn("round", F.row_number().over(w)).where(F.col("round") <= cap).orderBy("round", bucket).limit(cap)
 
 
-def first_wins(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of every key. The sort is within a key; for keys with very many rows see ``first_by_min``."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
 def first_by_min(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """``first_wins`` as an aggregate: it combines before the shuffle, so no key is too large."""
+    """The first row of every key, as an aggregate: it combines before the shuffle, so no key is too large."""
     rest = [c for c in rows.columns if c not in key]
     best = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__x"))
     return best.select(*key, *(F.col(f"__x.{c}").alias(c) for c in rest)).select(*rows.columns)
