@@ -93,28 +93,35 @@ class Index:
 
 
 class View:
-    """The index for one packing: postings of used documents are dropped each time half of them are used."""
+    """The index for one packing. Each time half of its documents are used they leave the postings: ``at`` are the
+    documents that stand in it, ``place`` their places there."""
 
     def __init__(self, index: Index) -> None:
-        self.index, self.docs, self.weights, self.starts = index, index.docs, index.weights, index.starts
-        self.full = max(1, index.n)
-
-    def compact(self, unused: np.ndarray) -> None:
-        left = int(unused.sum())
-        if left * 2 > self.full:
-            return
-        self.full = max(1, left)
-        keep = unused[self.docs]
-        self.starts = np.append(0, np.cumsum(keep))[self.starts]
-        self.docs, self.weights = self.docs[keep], self.weights[keep]
+        self.index, self.docs, self.weights, self.starts, self.rows = index, index.docs, index.weights, index.starts, index.rows
+        self.at = np.arange(index.n)
+        self.place = np.arange(index.n)
+
+    def compact(self, unused: np.ndarray) -> bool:
+        """Drop the used documents if they are half of those that stand here; ``unused`` is by document."""
+        keep = unused[self.at]
+        if 2 * int(keep.sum()) > len(self.at):
+            return False
+        moved = np.cumsum(keep) - 1
+        listed = keep[self.docs]
+        self.starts = np.append(0, np.cumsum(listed))[self.starts]
+        self.docs, self.weights = moved[self.docs[listed]], self.weights[listed]
+        self.rows, self.at = np.ascontiguousarray(self.rows[:, keep]), self.at[keep]
+        self.place = np.full(self.index.n, -1, np.int64)
+        self.place[self.at] = np.arange(len(self.at))
+        return True
 
     def scores(self, doc: int) -> np.ndarray:
-        """The BM25 score of every document for all terms of ``doc``."""
+        """The BM25 score of every document that stands here, for all terms of ``doc``."""
         slots = self.index.slots[self.index.slot_starts[doc] : self.index.slot_starts[doc + 1]]
         rows = self.index.row_of[slots]
-        out = np.zeros(self.index.n, np.float32)
+        out = np.zeros(len(self.at), np.float32)
         for row in rows[rows >= 0].tolist():
-            out += self.index.rows[row]
+            out += self.rows[row]
         for a, b in zip(self.starts[slots].tolist(), self.starts[slots + 1].tolist()):
             if a < b:
                 out[self.docs[a:b]] += self.weights[a:b]  # a term has a document once
@@ -146,6 +153,7 @@ def pack(sizes: np.ndarray, capacity: int, index: Index, items: np.ndarray) -> n
     unused_doc = np.zeros(index.n, bool)
     unused_doc[items] = True
     view = index.view()
+    free, size_at = unused_doc.copy(), size_of  # by place in the view
 
     def last_unused(k: int) -> int:
         path = []
@@ -156,10 +164,14 @@ def pack(sizes: np.ndarray, capacity: int, index: Index, items: np.ndarray) -> n
             skip[p + 1] = k
         return k
 
+    place = view.place
+
     def take(i: int, number: int) -> None:
         container[i] = number
         unused[i] = False
         unused_doc[items[i]] = False
+        if (k := place[items[i]]) >= 0:
+            free[k] = False
 
     number = 0
     sizes_list, ascending_sizes = sizes.tolist(), by_size.tolist()
@@ -169,15 +181,15 @@ def pack(sizes: np.ndarray, capacity: int, index: Index, items: np.ndarray) -> n
         take(seed, number)
         room = capacity - sizes_list[seed]
         if room > 0 and last_unused(bisect_right(ascending_sizes, room) - 1) >= 0:
-            view.compact(unused_doc)
+            if view.compact(unused_doc):
+                place, free, size_at = view.place, unused_doc[view.at], size_of[view.at]
             scores = view.scores(int(items[seed]))
             most = 32
             while room > 0:  # what does not fit now will not later
-                near = best_first(scores, unused_doc & (size_of <= room), most)
+                near = best_first(scores, free & (size_at <= room), most)
                 if not len(near):
                     break
-                for d in near.tolist():
-                    i = int(item_of[d])
+                for i in item_of[view.at[near]].tolist():
                     if sizes_list[i] <= room:
                         take(i, number)
                         room -= sizes_list[i]
