@@ -213,14 +213,14 @@ def provenance_join(spark: SparkSession, d: str) -> DataFrame:
 def _proposals(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     state = F.element_at(F.array(F.lit("pending"), F.lit("confirmed"), F.lit("rejected")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("mention"), F.col("p_size").cast("long").alias("entity_id"), F.col("p_retailprice").alias("score"), state.alias("status"), F.col("p_partkey").alias("created_at"))
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("mention"), F.col("p_size").cast("long").alias("entity_id"), F.col("p_type").alias("evidence"), F.col("p_retailprice").alias("score"), state.alias("status"), F.col("p_partkey").alias("created_at"))
 
 
 @query("""
-SELECT p_partkey AS id, p_name AS mention, n_name AS entity_name, p_retailprice AS score FROM part JOIN nation ON n_nationkey = p_size WHERE p_partkey % 3 = 0""")
+SELECT p_partkey AS id, p_name AS mention, n_name AS entity_name, p_type AS evidence, p_retailprice AS score FROM part JOIN nation ON n_nationkey = p_size WHERE p_partkey % 3 = 0""")
 def pending_proposals(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    return fx.pending_proposals(_proposals(spark, d), n).select("id", "mention", "entity_name", "score")
+    return fx.pending_proposals(_proposals(spark, d), n).select("id", "mention", "entity_name", "evidence", "score")
 
 
 @query("SELECT count(*) FILTER (p_partkey % 3 = 0) AS pending, min(CASE WHEN p_partkey % 3 = 0 THEN p_partkey END) AS oldest FROM part")
