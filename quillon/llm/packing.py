@@ -274,7 +274,7 @@ def placed(sized: DataFrame, df: np.ndarray, docs: int, tokens: int, mean: float
     at = {"": (docs, tokens)}  # the cells of a level are CELLS ** LEVELS at most
     rows = sized.withColumn("cell", F.lit(""))
     for level in range(LEVELS):
-        large = {name: n for name, (n, t) in at.items() if n > shard_docs or t > shard_tokens or (level == 0 and n >= 2 * CELL_DOCS)}
+        large = {name: n for name, (n, t) in at.items() if n > shard_docs or t > shard_tokens}
         if not large:
             break
         # The documents with the least hashes are the sample, whatever the partitions.
