@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -51,16 +52,29 @@ def _cosine(a, b) -> float:
 def greedy_match(extracted: list[dict], gold: list[dict], floor: float = FLOOR) -> list[tuple[int, int]]:
     """(gold seq, extracted seq): in gold order, each gold fact takes the first unused extracted fact of its kind
     that all its patterns hit, any case, and that is similar enough; without vectors on either side similarity is
-    not asked."""
+    not asked. Gold facts of one kind with the same patterns and vector walk the extracted facts once between them: what
+    one of them passed over, used or not fitting, fits none of the later ones. A statement is searched once for a list
+    of patterns."""
+    of_kind: dict[str, list[dict]] = {}
+    for x in sorted(extracted, key=lambda r: r["seq"]):
+        of_kind.setdefault(x["kind"], []).append(x)
     used: set[int] = set()
+    searched: dict[tuple, tuple[list[re.Pattern], dict[str, bool]]] = {}
+    walks: dict[tuple, Iterator[dict]] = {}
     pairs = []
     for g in sorted(gold, key=lambda r: r["seq"]):
-        patterns = [re.compile(p, re.IGNORECASE) for p in g["must_match"]]
-        for x in sorted(extracted, key=lambda r: r["seq"]):
-            if x["seq"] in used or x["kind"] != g["kind"] or not all(p.search(x["statement"] or "") for p in patterns):
+        must, va = tuple(g["must_match"]), g.get("embedding")
+        if must not in searched:
+            searched[must] = ([re.compile(p, re.IGNORECASE) for p in must], {})
+        patterns, hit = searched[must]
+        for x in walks.setdefault((g["kind"], must, None if va is None else tuple(va)), iter(of_kind.get(g["kind"], ()))):
+            if x["seq"] in used:
                 continue
-            va, vb = g.get("embedding"), x.get("embedding")
-            if va is not None and vb is not None and _cosine(va, vb) < floor:
+            statement = x["statement"] or ""
+            if statement not in hit:
+                hit[statement] = all(p.search(statement) for p in patterns)
+            vb = x.get("embedding")
+            if not hit[statement] or (va is not None and vb is not None and _cosine(va, vb) < floor):
                 continue
             used.add(x["seq"])
             pairs.append((g["seq"], x["seq"]))
@@ -71,8 +85,8 @@ def greedy_match(extracted: list[dict], gold: list[dict], floor: float = FLOOR)
 def match(extracted: DataFrame, gold: DataFrame, floor: float = FLOOR) -> DataFrame:
     """(kind, gold_seq, extracted_seq) of the greedy matching. Matches never cross kinds, so each kind is one
     group; gold sets are written by hand and small."""
-    a = extracted.withColumn("side", F.lit("x"))
-    b = gold.withColumn("side", F.lit("g"))
+    asked = ("seq", "kind", "statement", "must_match", "embedding")
+    a, b = (df.select(*(c for c in asked if c in df.columns), F.lit(side).alias("side")) for df, side in ((extracted, "x"), (gold, "g")))
     both = a.unionByName(b, allowMissingColumns=True)
 
     def one(table: pa.Table) -> pa.Table:

@@ -1,11 +1,14 @@
 import io
 import json
+import random
+import re
 import threading
 import urllib.error
 import urllib.request
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from http.server import HTTPServer
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +212,43 @@ def test_greedy_eval(spark):
     assert evals.greedy_match(vectors, [dict(gold[0], embedding=[0.0, 1.0])]) == [(1, 2)]
 
 
+def test_greedy_eval_walks_once(monkeypatch):
+    """Every pair of patterns and statement is searched once, with the results of the plain search of all for all."""
+    rng = random.Random(3)
+    searched = []
+
+    class Pattern:
+        def __init__(self, p, flags):
+            self.p = re.compile(p, flags)
+
+        def search(self, text):
+            searched.append(text)
+            return self.p.search(text)
+
+    def plain(got, gold):
+        used, out = set(), []
+        for g in sorted(gold, key=lambda r: r["seq"]):
+            for x in sorted(got, key=lambda r: r["seq"]):
+                near = g["embedding"] is None or x["embedding"] is None or g["embedding"] == x["embedding"]
+                if x["seq"] not in used and x["kind"] == g["kind"] and near and all(re.search(p, x["statement"] or "", re.IGNORECASE) for p in g["must_match"]):
+                    used.add(x["seq"])
+                    out.append((g["seq"], x["seq"]))
+                    break
+        return out
+
+    def vector():
+        return rng.choice([None, [1.0, 0.0], [0.0, 1.0]])
+
+    got = [{"seq": k // 2 if k < 40 else k, "kind": rng.choice("kl"), "statement": rng.choice(["A one", "a two", "b one", "", None]), "embedding": vector()} for k in range(300)]
+    gold = [{"seq": k, "kind": rng.choice("klm"), "must_match": rng.choice([["^a"], ["one"], ["a", "one"], [], ["c"]]), "embedding": vector()} for k in range(300)]
+    rng.shuffle(gold)
+    want = plain(got, gold)
+    with monkeypatch.context() as m:
+        m.setattr(evals, "re", SimpleNamespace(compile=Pattern, IGNORECASE=re.IGNORECASE, Pattern=re.Pattern))
+        assert evals.greedy_match(got, gold) == want
+    assert len(searched) <= 5 * 4 * 2  # lists of patterns, statements, patterns in a list
+
+
 def test_streaming(spark, tmp_path, corpus):
     s = Store(spark, str(tmp_path / "store"))
     items = read_corpus(spark, corpus, "UTC")
