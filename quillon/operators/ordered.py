@@ -63,19 +63,21 @@ def with_rank(rows: DataFrame, group: list[str], order: list[str], to: str) -> D
     return with_running_sum(in_parts(rows, group, order), group, order, F.lit(1), to).drop("__part").withColumn(to, F.col(to).cast("long"))
 
 
-def with_neighbours(rows: DataFrame, group: list[str], order: list[str], value: Column, before: str, after: str) -> DataFrame:
-    """Adds the greatest ``value`` among the rows of the group up to this one and the least among those from it on,
-    nulls left out; with a value that rises along the order these are the nearest ones. A group of any size is
+def with_neighbours(rows: DataFrame, group: list[str], order: list[str], left: Column, right: Column, before: str, after: str) -> DataFrame:
+    """Adds the greatest ``left`` among the rows of the group up to this one and the least ``right`` among those from it
+    on, nulls left out; with values that rise along the order these are the nearest ones. A group of any size is
     handled in parts; the parts' own extremes are carried over."""
-    parts = in_parts(rows.withColumn("__value", value), group, order)
+    parts = in_parts(rows, group, order).withColumn("__lv", left).withColumn("__rv", right)
     local = Window.partitionBy("__part", *group).orderBy(*order)
     along = Window.partitionBy(*group).orderBy("__part")  # a group has few parts
-    ends = parts.groupBy("__part", *group).agg(F.max("__value").alias("__max"), F.min("__value").alias("__min"))
+    ends = parts.groupBy("__part", *group).agg(F.max("__lv").alias("__max"), F.min("__rv").alias("__min"))
     carried = ends.select("__part", *group, F.max("__max").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__left"), F.min("__min").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__right"))
-    near = parts.withColumn("__own_max", F.max("__value").over(local.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__own_min", F.min("__value").over(local.rowsBetween(0, Window.unboundedFollowing)))
-    near = near.join(carried, ["__part", *group])
+    # A frame that runs to the end is gone through anew for every row; the rows backwards have a growing one.
+    back = Window.partitionBy("__part", *group).orderBy(F.desc("__at"))
+    near = parts.withColumn("__own_max", F.max("__lv").over(local.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__at", F.row_number().over(local))
+    near = near.withColumn("__own_min", F.min("__rv").over(back.rowsBetween(Window.unboundedPreceding, 0))).join(carried, ["__part", *group])
     near = near.withColumn(before, F.coalesce("__own_max", "__left")).withColumn(after, F.coalesce("__own_min", "__right"))
-    return near.drop("__part", "__value", "__own_max", "__own_min", "__left", "__right")
+    return near.drop("__part", "__lv", "__rv", "__own_max", "__own_min", "__at", "__left", "__right")
 
 
 def with_number(rows: DataFrame, order: list[str], to: str, part_rows: int | None = None) -> DataFrame:

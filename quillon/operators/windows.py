@@ -62,8 +62,7 @@ def nearest_counterparty(items: DataFrame, owner: str = "me", group: str = "sour
     # The value rises along the order; of one instant the first stands for all on the left side.
     left = F.when(other, F.struct("__us", (-F.col("seq")).alias("__no"), "sender"))
     right = F.when(other, F.struct("__us", F.col("seq").alias("__no"), "sender"))
-    rows = with_neighbours(rows, [group], ["__us", "seq"], left, "__before", "__unused").drop("__unused")
-    rows = with_neighbours(rows, [group], ["__us", "seq"], right, "__unused", "__after").drop("__unused")
+    rows = with_neighbours(rows, [group], ["__us", "seq"], left, right, "__before", "__after")
     behind, ahead = F.col("__us") - F.col("__before.__us"), F.col("__after.__us") - F.col("__us")
     near = F.when(F.col("__after").isNull() | (behind <= ahead), F.col("__before.sender")).otherwise(F.col("__after.sender"))
     return rows.withColumn("counterparty", F.when(other, F.col("sender")).otherwise(near)).drop("__us", "__before", "__after")

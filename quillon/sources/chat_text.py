@@ -14,31 +14,27 @@ DASH = r"^(\d{1,2})/(\d{1,2})/(\d{2,4}), (\d{1,2}):(\d{2})(?::(\d{2}))?[\s\x{A0}
 ATTACHED = r"(?U)^[\x{200E}\x{200F}]*(?:<attached:\s*([^>]+)>|([\w\- ]+\.\w+)\s\(file attached\))"
 
 
+#: The end of a line as ``$`` takes it, before a last line separator or after it.
+_END = r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?\z"
+
+
 def _field(line: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, k), F.lit(""))
 
 
-def _wall(line: Column) -> Column:
-    in_brackets = line.rlike(BRACKET)
+def _header(line: Column) -> Column:
+    """Year, month, day, hour, minute, second, half of the day and the rest of a header line, by one match."""
+    bracket = F.regexp_replace(line, BRACKET[:-1] + _END, "$3\x1f$2\x1f$1\x1f$4\x1f$5\x1f$6\x1f\x1f$7")
+    dash = F.regexp_replace(line, DASH[:-1] + _END, "$3\x1f$1\x1f$2\x1f$4\x1f$5\x1f$6\x1f$7\x1f$8")
+    return F.split(F.when(line.startswith("["), bracket).otherwise(dash), "\x1f", 8)
 
-    def pick(bracket: int, dash: int) -> Column:
-        return F.when(in_brackets, _field(line, BRACKET, bracket)).otherwise(_field(line, DASH, dash))
 
-    year = pick(3, 3).cast("int")
-    hour = pick(4, 4).cast("int")
-    half = F.lower(F.when(~in_brackets, _field(line, DASH, 7)))
+def _wall(header: Column) -> Column:
+    year, month, day, hour, minute, second, half = (F.nullif(header[k], F.lit("")) for k in range(7))
+    year, hour, half = year.cast("int"), hour.cast("int"), F.lower(half)
     hour = F.when(half.isNull(), hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    return F.try_to_timestamp(
-        F.format_string(
-            "%04d-%s-%s %02d:%s:%s",
-            F.when(year < 100, year + 2000).otherwise(year),
-            F.lpad(F.when(in_brackets, _field(line, BRACKET, 2)).otherwise(_field(line, DASH, 1)), 2, "0"),
-            F.lpad(F.when(in_brackets, _field(line, BRACKET, 1)).otherwise(_field(line, DASH, 2)), 2, "0"),
-            hour,
-            pick(5, 5),
-            F.coalesce(pick(6, 6), F.lit("00")),
-        )
-    )
+    year = F.when(year < 100, year + 2000).otherwise(year)
+    return F.try_to_timestamp(F.format_string("%04d-%s-%s %02d:%s:%s", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"), hour, minute, F.coalesce(second, F.lit("00"))))
 
 
 def _messages(spark: SparkSession, path: str) -> DataFrame:
@@ -61,18 +57,17 @@ def read_chat_text(spark: SparkSession, path: str, source_tz: str, thread: str |
     lines = _messages(spark, path).where("message > 0")
     made = lines.groupBy("file", "message").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     made = made.withColumn("first", F.col("x")[0]["line"]).withColumn("rest", F.transform(F.slice("x", 2, 1_000_000_000), lambda l: l["line"]))
-    head = F.coalesce(_field(F.col("first"), BRACKET, 7), _field(F.col("first"), DASH, 8), F.lit(""))
-    body = F.concat_ws("\n", F.array(head), F.col("rest"))
-    cut = F.instr(body, ": ")
-    made = made.withColumn("sender", F.when(cut > 0, F.substr(body, F.lit(1), cut - 1))).withColumn("full", F.when(cut > 0, F.substr(body, cut + 2)).otherwise(body))
-    found = F.coalesce(_field(F.col("full"), ATTACHED, 1), _field(F.col("full"), ATTACHED, 2))
-    made = made.withColumn("media_path", F.when(F.col("sender").isNotNull(), found))
+    # What is used more than once is a column of its own, or it is worked out anew for each use.
+    made = made.withColumn("header", _header(F.col("first")))
+    made = made.withColumn("body", F.concat_ws("\n", F.array(F.col("header")[7]), F.col("rest"))).withColumn("cut", F.instr("body", ": "))
+    made = made.withColumn("sender", F.when(F.col("cut") > 0, F.substr("body", F.lit(1), F.col("cut") - 1))).withColumn("full", F.when(F.col("cut") > 0, F.substr("body", F.col("cut") + 2)).otherwise(F.col("body")))
+    made = made.withColumn("media_path", F.when(F.col("sender").isNotNull() & F.col("full").rlike(ATTACHED), F.coalesce(_field(F.col("full"), ATTACHED, 1), _field(F.col("full"), ATTACHED, 2))))
     left = F.regexp_replace(F.regexp_replace("full", ATTACHED, ""), r"^\s+|\s+$", "")
     made = made.withColumn("text", F.when(F.col("media_path").isNotNull(), F.nullif(left, F.lit(""))).otherwise(F.col("full")))
     name = F.lit(thread) if thread else stem(F.col("file"))
     return normalized(
         made.select(
-            F.lit("whatsapp").alias("source"), name.alias("thread"), local_to_utc(_wall(F.col("first")), source_tz).alias("ts"), "sender", "text", "media_path",
+            F.lit("whatsapp").alias("source"), name.alias("thread"), local_to_utc(_wall(F.col("header")), source_tz).alias("ts"), "sender", "text", "media_path",
             F.col("sender").isNull().alias("is_system"), F.to_json(F.struct(name.alias("thread"), F.col("x")[0]["line_no"].alias("line"))).alias("meta"),
             F.concat(F.lit("whatsapp:"), name).alias("source_group"), F.col("message").cast("long").alias("seq"),
         )

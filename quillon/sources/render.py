@@ -7,14 +7,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from pathlib import Path
-from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.ordered import with_rank
 from quillon.operators.windows import nearest_counterparty
 
+#: Messages in one file of a direct-message thread; a longer thread has several, as such exports do.
+FILE_MESSAGES = 20_000
+
 
 def misread(c: Column) -> Column:
     """A text as an export shows it whose UTF-8 was read as Latin-1."""
@@ -35,40 +38,53 @@ def render_chat_text(items: DataFrame, path: str) -> None:
     chat_lines(items.orderBy("ts", "seq")).write.text(path)
 
 
-def render_dm_json(items: DataFrame, root: str) -> int:
-    """A folder for each thread below ``root`` with its messages in one file, mis-decoded as such exports are; returns
-    the number of threads."""
+def render_dm_json(items: DataFrame, root: str, file_messages: int = FILE_MESSAGES) -> int:
+    """A folder for each thread below ``root`` with its messages, mis-decoded as such exports are, in files of
+    ``file_messages`` at most whose names sort as their messages; returns the number of threads."""
 
-    def write(rows: pa.Table) -> pa.Table:
+    def write(rows: pa.Table, files: pa.Table) -> pa.Table:
+        of = files.to_pylist()[0]
         messages = []
-        for r in sorted(rows.to_pylist(), key=lambda r: (r["ms"], r["seq"])):
+        for r in rows.sort_by("no").to_pylist():
             entry = {"sender_name": r["sender"], "timestamp_ms": r["ms"]}
             messages.append(entry | ({"photos": [{"uri": r["media_path"], "creation_timestamp": r["ms"] // 1000}]} if r["media_path"] else {"content": r["text"]}))
-        folder = Path(root) / rows["thread"][0].as_py()
+        folder = Path(root) / of["thread"]
         folder.mkdir(parents=True, exist_ok=True)
-        names = sorted({m["sender_name"] for m in messages if m["sender_name"]})
-        (folder / "message_1.json").write_text(json.dumps({"participants": [{"name": n} for n in names], "messages": messages}))
-        return pa.table({"n": pa.array([1], pa.int64())})
+        name = f"message_{of['file'] + 1:0{len(str(of['files']))}}.json"
+        (folder / name).write_text(json.dumps({"participants": [{"name": n} for n in of["names"]], "messages": messages}))
+        return pa.table({"n": pa.array([int(of["file"] == 0)], pa.int64())})
 
     rows = items.select("thread", F.unix_millis("ts").alias("ms"), "seq", misread(F.col("sender")).alias("sender"), misread(F.col("text")).alias("text"), "media_path")
-    return rows.groupBy("thread").applyInArrow(write, "n long").count()  # a thread is one file
+    threads = rows.groupBy("thread").agg(F.sort_array(F.collect_set(F.nullif("sender", F.lit("")))).alias("names"), F.ceil(F.count("*") / file_messages).alias("files"))
+    files = threads.withColumn("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("files") - 1)))
+    numbered = with_rank(rows, ["thread"], ["ms", "seq"], "no").withColumn("file", F.floor((F.col("no") - 1) / file_messages))
+    key = ["thread", "file"]
+    return numbered.groupBy(*key).cogroup(files.groupBy(*key)).applyInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _attribute(c: Column) -> Column:
+    """A text as a quoted attribute of XML."""
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        c = F.replace(c, F.lit(plain), F.lit(written))
+    return F.concat(F.lit('"'), c, F.lit('"'))
 
 
 def render_sms_xml(items: DataFrame, path: str, owner: str = "me") -> None:
     """SMS backups, each partition a file with a root. The address of a message that the owner sent is the counterparty's:
     ``thread`` where it is given, else who spoke nearest in time."""
     near = nearest_counterparty(items, owner)
-    rows = near.select(F.coalesce("thread", "counterparty").alias("address"), F.unix_millis("ts").alias("ms"), "sender", "text")
+    sent = F.coalesce(F.col("sender") == owner, F.lit(False))
+    no_text = F.lit("null")
+    given = {
+        "address": F.coalesce(F.nullif("thread", F.lit("")), F.when(F.col("thread").isNull(), F.nullif("counterparty", F.lit(""))), no_text), "date": F.unix_millis("ts").cast("string"), "type": F.when(sent, "2").otherwise("1"),
+        "body": F.coalesce("text", no_text), "contact_name": F.when(sent, no_text).otherwise(F.coalesce(F.nullif("sender", F.lit("")), no_text)),
+    }
+    rows = near.select(F.concat(F.lit("<sms "), F.concat_ws(" ", *(F.concat(F.lit(f"{k}="), _attribute(F.coalesce(v, F.lit("None")))) for k, v in given.items())), F.lit("/>")).alias("value"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(["<?xml version='1.0' encoding='UTF-8'?>", "<smses>"])], names=["value"])
         for batch in batches:
-            lines = []
-            for r in batch.to_pylist():
-                sent = r["sender"] == owner
-                given = {"address": r["address"] or "null", "date": str(r["ms"]), "type": "2" if sent else "1", "body": "null" if r["text"] is None else r["text"], "contact_name": "null" if sent else r["sender"] or "null"}
-                lines.append("<sms " + " ".join(f"{k}={quoteattr(v, {chr(10): '&#10;'})}" for k, v in given.items()) + "/>")
-            yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
+            yield pa.record_batch([batch.column(0)], names=["value"])
         yield pa.record_batch([pa.array(["</smses>"])], names=["value"])
 
     rows.mapInArrow(write, "value string").write.text(path)

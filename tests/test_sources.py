@@ -5,12 +5,15 @@ import struct
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.operators.windows import nearest_counterparty
 from quillon.sources import phone_backup as pb
 from quillon.sources.chat_text import orphan_lines, read_chat_text
 from quillon.sources.dispatch import read, read_corpus
 from quillon.sources.dm_json import read_dm_json
 from quillon.sources.photos import read_photos, unreadable
+from quillon.sources.render import render_dm_json, render_sms_xml
 from quillon.sources.sms_xml import dropped, read_sms_xml
 
 DASH = """lost line
@@ -238,3 +241,38 @@ def test_chat_text_over_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [(x.seq, x.sender, x.text, json.loads(x.meta)["line"]) for x in r] == [(k + 1, f"P{k}", f"message {k}\nmore of {k}", 3 * k) for k in range(500)]
+
+
+def test_rendered_threads_span_files_and_neighbours_are_found_in_one_run(spark, tmp_path):
+    """A thread longer than a file comes back in order, and no frame of rows runs to the end of its part."""
+    rows = [("t", datetime(2024, 1, 1), f"S{k % 3}", f"n{k} – ok" if k % 5 else None, None if k % 5 else f"p{k}.jpg", k) for k in range(23)] + [("u", datetime(2024, 1, 2), "A", "one", None, 99)]
+    items = spark.createDataFrame(rows, "thread string, ts timestamp, sender string, text string, media_path string, seq long")
+    assert render_dm_json(items, str(tmp_path / "dm"), file_messages=2) == 2
+    assert sorted(p.name for p in (tmp_path / "dm" / "t").iterdir()) == [f"message_{k:02}.json" for k in range(1, 13)]
+    assert [p.name for p in (tmp_path / "dm" / "u").iterdir()] == ["message_1.json"]
+    assert json.loads((tmp_path / "dm" / "t" / "message_12.json").read_text())["participants"] == [{"name": f"S{k}"} for k in range(3)]
+    back = read_dm_json(spark, str(tmp_path / "dm")).where("source_group = 'instagram:t'").orderBy("seq").select("sender", "text", "media_path").collect()
+    assert [tuple(r) for r in back] == [r[2:5] for r in rows[:23]]
+
+    spoken = [(k * 7 % 50, k * k % 7 % 4) for k in range(60)]
+    turns = [("g", datetime(2024, 1, 1, 0, 0, s), k, "me" if who < 2 else f"c{who}{k % 5}") for k, (s, who) in enumerate(spoken)]
+    got = nearest_counterparty(spark.createDataFrame(turns, "source_group string, ts timestamp, seq long, sender string"))
+    others = [t for t in turns if t[3] != "me"]
+    want = {t[2]: t[3] if t[3] != "me" else min(others, key=lambda o: (abs(o[1] - t[1]), o[1], o[2]))[3] for t in turns}
+    assert {r["seq"]: r["counterparty"] for r in got.collect()} == want
+    assert "CURRENTROW$(), UNBOUNDEDFOLLOWING$()" not in got._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_sms_attributes_and_chat_headers_with_odd_text(spark, tmp_path):
+    odd = "a \"b\" 'c' & <d>\ttab\nnext\x1f|end"
+    rows = [(None, datetime(2024, 1, 1), "Zoë & \"co\"", odd.replace("\x1f", ""), None, 1), ("", datetime(2024, 1, 2), "me", "", None, 2), ("+1", datetime(2024, 1, 3), None, None, None, 3)]
+    items = spark.createDataFrame(rows, "thread string, ts timestamp, sender string, text string, media_path string, seq long").withColumn("source_group", F.lit("g"))
+    render_sms_xml(items, str(tmp_path / "sms"))
+    back = read_sms_xml(spark, str(tmp_path / "sms")).orderBy("ts").select("sender", "text", F.get_json_object("meta", "$.address").alias("address")).collect()
+    assert [(r.sender, r.text, r.address) for r in back] == [(rows[0][2], rows[0][3], rows[0][2]), ("me", "", None), (None, None, "+1")]
+    chat = tmp_path / "chat.txt"
+    chat.write_text(f"1/2/24, 3:04 PM - A: {odd.splitlines()[0]}\x1fmore\n[03/02/2024, 05:06:07] B: x\x1fy: z\n[1/1/24, 10:00] it began\n1/2/2024, 23:04 - C: w \n", encoding="utf-8")
+    got = read_chat_text(spark, str(chat), "UTC").orderBy("seq").select("ts", "sender", "text").collect()
+    assert [tuple(r) for r in got] == [
+        (datetime(2024, 1, 2, 15, 4), "A", odd.splitlines()[0] + "\x1fmore"), (datetime(2024, 2, 3, 5, 6, 7), "B", "x\x1fy: z"), (datetime(2024, 1, 1, 10), None, "it began"), (datetime(2024, 1, 2, 23, 4), "C", "w"),
+    ]
