@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 import regex
@@ -76,8 +77,10 @@ STAND_FROM, STAND_SHARE = 2, 0.0001
 #: Two words one edit apart are two names, not a slip, where both stand in this many different names and neither in
 #: ``SLIP_TIMES`` as many as the other.
 NAME_FROM, SLIP_TIMES = 3, 10
-#: A word of a firm is looked up if it is the firm's rarest or no more firms than this have it.
+#: A word that no more firms than this have is looked up alone, as is a firm's rarest, any other with a word beside it.
 RARE_FIRMS = 100
+#: Letters of an abbreviation by which it is looked up.
+BRIEF = 4
 #: One edit makes another name of a single word shorter than this, and of words written together shorter than that.
 WORD_EDIT_FROM, JOINED_EDIT_FROM = 4, 8
 
@@ -391,20 +394,51 @@ def same_firm(a: str, b: str) -> bool:
     return True
 
 
+def brief_keys(word: str) -> list[str]:
+    """The first ``BRIEF`` letters of all that may abbreviate ``word``."""
+    rest = [c for c in word[1:] if c not in "aeiou"]
+    cut = {word[:n] for n in range(2, BRIEF + 1)} | {word[0] + "".join(c) for n in range(1, BRIEF) for c in combinations(rest, n)}
+    return sorted(k for k in cut if 2 <= len(k) < len(word))
+
+
 def abbreviated(firms: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): names of firms (form, s) and other spellings that have a rare word of the firm and whose other words
-    may abbreviate the firm's or be abbreviated by them."""
-    tokens = firms.select("form", "s", F.explode(F.array_distinct(F.split("s", " "))).alias("w"))
-    counts = tokens.groupBy("w").agg(F.count("*").alias("n"))
-    ranked = tokens.join(counts, "w").withColumn("least", F.min("n").over(Window.partitionBy("form"))).where(f"n = least or n <= {RARE_FIRMS}")  # the words of one name
-    left = ranked.select(F.col("form").alias("a"), F.col("s").alias("sa"), F.size(F.split("s", " ")).alias("k"), "w")
-    right = texts.select(F.col("form").alias("b"), F.col("s").alias("sb"), F.size(F.split("s", " ")).alias("k"), F.explode(F.array_distinct(F.split("s", " "))).alias("w"))
+    """(a, b): names of firms (form, s) and other spellings that share a word and whose other words may abbreviate the
+    firm's or be abbreviated by them. They meet at the firm's rare words and its rarest. A spelling without any of these
+    has another word for the rarest, and meets the firm at the common word with what that other word may be."""
+    k, words = F.size(F.split("s", " ")).alias("k"), F.explode(F.array_distinct(F.split("s", " "))).alias("w")
+    tokens = firms.select("form", "s", k, words)
+    counts = settle_table(tokens.groupBy("w").agg(F.count("*").alias("n")), "firm-words")
+    of_form = Window.partitionBy("form")  # the words of one name
+    ranked = tokens.join(counts, "w").withColumn("rarest", F.min(F.struct("n", "w")).over(of_form))
+    left = ranked.where(f"n = rarest.n or n <= {RARE_FIRMS}").select(F.col("form").alias("a"), F.col("s").alias("sa"), "k", "w")
+    right = texts.select(F.col("form").alias("b"), F.col("s").alias("sb"), k, words)
 
     @F.arrow_udf(T.BooleanType())
     def same(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([same_firm(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())])
 
-    return left.join(right, ["w", "k"]).where("a <> b and k > 1").select("a", "b", "sa", "sb").distinct().where(same("sa", "sb")).select("a", "b")
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def keys(x: pa.Array) -> pa.Array:
+        return pa.array([brief_keys(w) for w in x.to_pylist()], pa.list_(pa.string()))
+
+    def meeting(rows: DataFrame, short: str, full: str) -> DataFrame:
+        brief = F.when(F.length("s") > 1, F.array(F.concat(F.lit(short), F.substr("s", F.lit(1), F.lit(BRIEF)))))
+        long = F.transform(keys("s"), lambda x: F.concat(F.lit(full), x))
+        return rows.select("form", "grp", F.explode(F.concat(F.coalesce(brief, F.array().cast("array<string>")), long)).alias("key"))
+
+    met = left.join(right, ["w", "k"]).where("a <> b and k > 1").select("a", "b", "sa", "sb").distinct()
+    common = counts.where(F.col("n") > RARE_FIRMS).select("w")
+    if common.head(1):
+        grp = F.concat_ws("\x1f", "w", F.col("k").cast("string")).alias("grp")
+        index = ranked.where(f"n > rarest.n and n > {RARE_FIRMS} and k > 1").select(F.concat_ws("\x1d", "form", "s", "rarest.w").alias("form"), grp, F.col("rarest.w").alias("s"))
+        probe = right.where("k > 1").join(common, "w", "left_semi").select(F.concat_ws("\x1d", "b", "sb").alias("form"), grp, F.explode(F.array_distinct(F.split("sb", " "))).alias("s"))
+        brief = meeting(index, "<", ">").withColumnRenamed("form", "a").join(meeting(probe, ">", "<").withColumnRenamed("form", "b"), ["grp", "key"]).select("a", "b")
+        slips = _meet(index.where(F.length("s") >= WORD_EDIT_FROM), probe.withColumn("lengths", F.lit(ANY_LENGTH)), HOT_CUTS, HOT_FORMS)
+        x, y = F.split("a", "\x1d"), F.split("b", "\x1d")
+        far = brief.unionByName(slips).select(x[0].alias("a"), y[0].alias("b"), x[1].alias("sa"), y[1].alias("sb"), x[2].alias("r"))
+        far = far.where("a <> b and not array_contains(split(sb, ' '), r)").drop("r").distinct()
+        met = met.unionByName(far).distinct()
+    return met.where(same("sa", "sb")).select("a", "b")
 
 
 def _learn(entities: DataFrame) -> tuple[list[str], list[str], list[tuple[str, str]]]:

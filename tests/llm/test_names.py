@@ -128,3 +128,16 @@ def test_short_forms_and_firms_from_the_corpus(spark):
 
 def test_empty(spark):
     assert run(spark, [], []) == set()
+
+
+def test_common_words_of_firms_lose_no_abbreviation(spark):
+    """Over a hundred firms share a word, and spellings abbreviate or mistype the other one."""
+    roots = [a + b + c for a in ("bran", "kelt", "morv", "dost", "fipl") for b in ("a", "ed", "ist", "ork", "unt") for c in ("", "er", "ing", "sund", "wald")]
+    firms = [" ".join(sorted((r, w))) for r in roots for w in ("logistics", *(("trading",) if r < "g" else ()))] + ["acme logistics", "logistics overland union"]
+    briefs = [" ".join(sorted((x, "logistics"))) for r in roots[::7] for x in (r[:4], r[0] + "".join(c for c in r[1:] if c not in "aeiou"), r[:2] + r[3:], r[1::-1] + r[2:])]
+    texts = sorted({*firms, *briefs, "acm logistics", "amce logistics", "logistics ovrl union", "log ovrl union", "acme logistic", "logistics"})
+    made = [spark.createDataFrame([(f"w{s}", s) for s in side], "form string, s string") for side in (firms, texts)]
+    got = N.abbreviated(*made).collect()
+    want = {(f"w{a}", f"w{b}") for a in firms for b in texts if a != b and " " in b and set(a.split()) & set(b.split()) and N.same_firm(a, b)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert ("wacme logistics", "wacm logistics") in want
