@@ -601,12 +601,15 @@ def linked(entities: DataFrame, items: DataFrame, exports: DataFrame) -> DataFra
     # A key whose part has no full name yet gets the one that fits; any other keeps its part.
     named = part_of_form.where(F.col("f").startswith("p\x1e") | F.col("f").startswith("o\x1e")).select("component").distinct()
     chosen = chosen.join(placed.join(named, "component", "left_semi").select("key"), "key", "left_anti").groupBy("key").agg(F.min("component").alias("component"))
-    placed = placed.unionByName(chosen.select("component", "key"))
+    # Each set of edges is written by itself: in one plan with all that leads to them their stages would run at once, and
+    # the driver would hold a hundred exchanges. (Not the ranked words of firms: what is as small as that on disk and
+    # many times as large in memory would be broadcast.)
+    placed = settle_table(placed.unionByName(chosen.select("component", "key")), "placed")
     # What the readings leave apart meets by its words: equal ones, ones an edit apart, and those of firms cut short.
     edges = placed.select(F.col("key").alias("a"), F.concat(F.lit("c:"), "component").alias("b")).unionByName(words.select(F.col("key").alias("a"), F.col("form").alias("b")))
     of_firms = every.where("t = 'o'").select("key").distinct()
-    firm_words = words.join(of_firms.where(F.col("key").startswith("e:")), "key", "left_semi").select("form", "s").distinct()
-    short_words = abbreviated(firm_words, texts)
+    firm_words = settle_table(words.join(of_firms.where(F.col("key").startswith("e:")), "key", "left_semi").select("form", "s").distinct(), "firms")
+    short_words = settle_table(abbreviated(firm_words, texts), "short-words")
     whole = settle_table(components(edges.unionByName(hits.where((kind[0] == "w") & (kind[1] == "w"))).unionByName(short_words)), "whole")
     own = whole.where(vertex.startswith("e:") | vertex.startswith("s:")).select(vertex.alias("key"), "component")
     placed = own.join(own.where(F.col("key").startswith("e:")).select("component").distinct(), "component", "left_semi").select("component", "key")

@@ -18,7 +18,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component): the component is the least vertex in it. Self loops keep a lone vertex; null ends are
     ignored; parallel edges change nothing."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    both = settle_table(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    # Both directions come from each row: in a union of the two the whole plan of the edges would stand twice, and run twice.
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    both = settle_table(pairs.select(ways).select("way.*").distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.col("vertex")).alias("component"))
     table = labels = settle_table(labels, "labels")
     for _ in range(MOST_ROUNDS):

@@ -141,3 +141,22 @@ def test_common_words_of_firms_lose_no_abbreviation(spark):
     want = {(f"w{a}", f"w{b}") for a in firms for b in texts if a != b and " " in b and set(a.split()) & set(b.split()) and N.same_firm(a, b)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert ("wacme logistics", "wacm logistics") in want
+
+
+def test_plans_stay_small(spark):
+    """The driver's memory follows the largest plan: with more than a hundred firms at a word, too, all are of a modest size."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty(30_000)
+        every = store.executionsList()
+        return {every.apply(k).executionId() for k in range(every.size())}
+
+    roots = [a + b + c for a in ("Bran", "Kelt", "Morv", "Dost", "Fipl") for b in ("a", "ed", "ist", "ork", "unt") for c in ("", "er", "ing", "sund", "wald")]
+    rows = [(f"f{k}", f"{r} Logistics", "org", None, "q") for k, r in enumerate(roots)] + [("1", "Edward Brozumigro", "person", ["Ned Brozumigor"], "q"), ("2", "Emily Brozumigro", "person", None, "q")]
+    before = executions()
+    got = run(spark, rows, ["Brandeding Lgstcs", "E. Brozumigro", "Emliy Brozumigro", "Keltistsnd Logistics"])
+    assert ("e:2", "s:Emliy Brozumigro") in got
+    graphs = [store.planGraph(k).allNodes() for k in executions() - before]
+    exchanges = [sum("Exchange" in g.apply(k).name() for k in range(g.size())) for g in graphs]
+    assert graphs and max(g.size() for g in graphs) < 150 and max(exchanges) < 16

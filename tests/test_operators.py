@@ -85,6 +85,18 @@ def test_components_against_union_find(spark):
     assert got == {v: find(v) for v in parent}
 
 
+def test_components_read_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(f"v{k}", f"v{k + 1}") for k in range(20)], "a string, b string").mapInArrow(counted, "a string, b string")
+    assert {r.component for r in components(edges).collect()} == {"v0"} and read.value == 20
+
+
 def test_face_clusters_and_search(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
